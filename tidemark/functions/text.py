@@ -107,7 +107,7 @@ def norm_text(text: Column, trim: bool = True) -> Column:
 
 def split_list(text: Column, sep: str) -> Column:
     """Trimmed, without empties, each once in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), sep), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), sep), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 @F.pandas_udf(StringType())

@@ -85,6 +85,16 @@ def secondary(statistics: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return statistics.where(~F.col("fired") & (F.abs("mg") >= limits.mg))
 
 
+def estimation_residuals(prices: DataFrame, fired: DataFrame, market: str, limits: Limits = Limits()) -> DataFrame:
+    """(symbol, day, ar) over the estimation days before one day's fired symbols, by the model that was fitted on them."""
+    r = returns(prices)
+    m = r.where(F.col("symbol") == market).select("day", F.col("r").alias("m"))
+    at = fired.select("symbol", F.col("day").alias("at"), "alpha", "beta")
+    j = r.join(at, "symbol").where(F.col("day") <= F.col("at")).join(m, "day")
+    back = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("day"))) - 1
+    return j.withColumn("back", back).where(F.col("back").between(limits.last, limits.first)).select("symbol", "day", (F.col("r") - F.col("alpha") - F.col("beta") * F.col("m")).alias("ar")).where("ar IS NOT NULL")
+
+
 def fired_clusters(fired: DataFrame, residuals: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """OBS-02: (symbol, cluster) of one day's fired symbols, joined where moves have one sign and residuals correlate."""
     c = residual_correlations(residuals.join(fired.select("symbol"), "symbol", "left_semi"), limits).where(F.col("corr") >= limits.corr)

@@ -88,7 +88,7 @@ def quote_claims(quotes: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "(?<=[.!?])\\s+|\\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "(?<=[.!?])\\s+|\\n+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def scope_of(sentence: Column) -> Column:
@@ -176,7 +176,8 @@ def _stable(nodes: list[int], attacks: dict[int, set[int]]) -> list[frozenset[in
             ins, outs = ins | more_in, outs | more_out
         left = [x for x in nodes if x not in ins and x not in outs]
         if not left:
-            found.append(frozenset(ins))
+            if all(attacks[y] & ins for y in outs):
+                found.append(frozenset(ins))
             return
         x = left[0]
         if not victims[x] & ins:
