@@ -114,8 +114,9 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     """
     from pyspark.sql import Window
 
-    # both joins below read this one exchange
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartition("k")
+    # both joins below read this one exchange; rows without a key would keep it from being the same for both
+    every = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = every.where(F.col("k").isNotNull()).repartition("k")
     wanted = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.char_length(F.coalesce(F.col(text), F.lit("")))).alias("most"))
     order = next_keys(docs, key)
     # what a document sends back: its first code points, as many as the longest row before it can use
@@ -123,6 +124,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     sends = rows.join(asks, "k").select("to", F.substring(F.col("t"), F.lit(1), F.col("take")).alias("head"), fingerprint(F.col("t")).alias("next_print"), F.sha2(F.col("t").cast("binary"), 256).alias("tie"))
     sends = sends.withColumn("place", F.row_number().over(Window.partitionBy("to").orderBy("tie"))).where("place = 1").drop("place", "tie")
     both = rows.join(sends.withColumnRenamed("to", "k"), "k", "left")
+    both = both.unionByName(every.where(F.col("k").isNull()).select("k", "t", F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("next_print")))
     cut = F.floor(F.col("n") / 4).cast("int")
     both = both.withColumn("n", F.char_length("t").cast("long")).withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), (F.col("n") - cut).cast("int")), F.substring(F.coalesce(F.col("head"), F.lit("")), F.lit(1), cut)))
     both = both.select("k", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("t")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), F.coalesce("next_print", fingerprint(F.lit(""))).alias("next_print"))
