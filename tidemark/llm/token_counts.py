@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import per_batch, tokenizer_bytes, tokenizer_path
-from tidemark.session import shared_dir
+from tidemark.session import shared_dir, written
 
 CACHE = "version string, digest binary, n_tokens long"
 #: Digests that a task remembers before it forgets them all and starts anew.
@@ -106,4 +106,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str | None = None,
     per_batch(misses, encode, CACHE).write.mode("append").parquet(path)
 
     rows = docs.select(F.col(key).alias(key), F.octet_length(_content(text)).cast("long").alias("n_bytes"), _digest(text).alias("digest"))
-    return rows.join(read_cache(spark, path, version), "digest").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # as a table, so that the join stands on two plain exchanges, which AQE may split at a hot digest
+    counts = written(read_cache(spark, path, version), "token-counts-known")
+    return rows.join(counts, "digest").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
