@@ -149,6 +149,8 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     merged = written(merged, "line-templates")
     named = seen.join(merged, ["path", "line"], "left").withColumn("template", F.coalesce("template", "line"))
     recurring = named.groupBy("path", "template", "k").agg(F.lit(1).alias("one")).groupBy("path", "template").agg(F.count("*").alias("n"), F.min("k").alias("first")).where(F.col("n") >= min_docs)
+    # as a table, so that the join stands on two plain exchanges, which AQE may split at a hot template
+    recurring = written(recurring, "lines-recurring")
     going = named.join(recurring, ["path", "template"]).where(F.col("k") != F.col("first"))
     return going.groupBy(F.col("k").alias(key)).agg(F.collect_list(F.struct("path", "line")).alias("lines"))
 
