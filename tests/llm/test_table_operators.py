@@ -170,6 +170,15 @@ def test_first_document_keeps_a_shared_passage(spark):
     assert line_dedup.drop_recurring_lines(docs(spark, [])).count() == 0
 
 
+def test_columns_that_clash(spark):
+    df = docs(spark, [(1, "a b c d", "", 0), (2, "a b c d\nmore here", "", 0)])
+    df = df.withColumns({n: F.lit("mine") for n in ("lines", "_k", "_lines", "path", "template", "component_id", "_kept", "n_words", "t")}).withColumn("n_lines", F.lit("old"))
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(df).collect()}
+    assert got[2].text == "more here" and got[2].lines == got[2]._k == "mine" and got[2].n_lines == 2
+    assert simhash.keep_one(df).columns == df.columns and simhash.near_duplicates(df).count() == 2
+    assert fingerprints.edited_fingerprints(df).count() == 2
+
+
 def test_a_template_takes_changed_fields():
     a = np.arange(10, dtype=np.uint32)
     b, c = a.copy(), a.copy()

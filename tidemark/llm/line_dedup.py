@@ -159,10 +159,16 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     """docs with text shortened, all other columns as they were, and n_lines, n_dropped at the end.
 
     Lines without tokens stay and count as none. Null texts stay null. Rows without a key stay
-    whole and make nothing recur. An empty table gives no rows.
+    whole and make nothing recur. An empty table gives no rows. Columns of docs that are named
+    n_lines or n_dropped are replaced.
     """
-    going = recurring_lines(docs, key, text, depth, alike, min_docs).select(F.col(key).alias("_k"), F.col("lines").alias("_lines"))
-    both = docs.join(going, docs[key] == going["_k"], "left").select(*[docs[c] for c in docs.columns], "_lines")
+    docs = docs.drop("n_lines", "n_dropped")
+    going = recurring_lines(docs, key, text, depth, alike, min_docs)
+    free = "_lines"
+    while free in docs.columns:
+        free = f"_{free}"
+    going = going.select(F.col(key).alias("_k"), F.col("lines").alias(free))
+    both = docs.join(going, docs[key] == going["_k"], "left").select(*[docs[c] for c in docs.columns], going[free])
     schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
     at = docs.columns.index(text)
 
