@@ -48,6 +48,21 @@ def test_shares_are_conserved_and_stories_form():
     assert rows[17]["ledger"][0]["missing"] and not rows[17]["alpha"] and all(a["pit"] is None for a in rows[17]["attention"])
 
 
+def test_days_are_refitted_on_what_came_before():
+    docs = stream(windows=300)
+    state, rows = run(docs)
+    assert state.refits == 2 and state.theta and state.omega in (0.0, 0.25, 0.5, 0.75, 1.0)
+    sums = {}
+    for r in rows[192:]:
+        for a in r["alpha"]:
+            sums[a["target"], a["win"]] = sums.get((a["target"], a["win"]), 0) + a["alpha"]
+    assert sums and all(v == pytest.approx(1) for v in sums.values())
+    cut = copy.deepcopy(docs)
+    cut[290] = []
+    again = run(cut)[1]
+    assert json.dumps(again[:290], default=str) == json.dumps(rows[:290], default=str)
+
+
 def test_resumed_run_goes_on_the_same():
     docs = stream()
     whole, rows = run(docs)

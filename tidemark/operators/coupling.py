@@ -61,8 +61,8 @@ class Coupled:
     held_deviance: float
 
 
-def fit_coupled(designs: dict[str, np.ndarray], counts: dict[str, np.ndarray], supply: np.ndarray, free: int, present: np.ndarray, rounds: int = 2) -> Coupled:
-    """Rows fit one by one against a shared factor, which the fitted rows then set anew. omega and beta are those with the least deviance on the last windows, which their fits don't see.
+def fit_coupled(designs: dict[str, np.ndarray], counts: dict[str, np.ndarray], supply: np.ndarray, free: int, present: np.ndarray, rounds: int = 2, known: tuple[float, float] | None = None) -> Coupled:
+    """Rows fit one by one against a shared factor, which the fitted rows then set anew. omega and beta are the known ones, or else those with the least deviance on the last windows, which their fits don't see.
 
     Rows are independent given the factor, so on a cluster each round is a grouped map and one sum per window.
     """
@@ -81,12 +81,12 @@ def fit_coupled(designs: dict[str, np.ndarray], counts: dict[str, np.ndarray], s
         return theta, c
 
     best = None
-    for omega in OMEGAS if late.any() and early.any() else OMEGAS[:1]:
-        for beta in BETAS if omega else BETAS[1:2]:
-            theta, c = fit(early if early.any() else present, omega, beta, 1)
-            dev = sum(deviance(counts[n][late], np.maximum(c * soft(n, th), 1e-9)[late]) for n, th in theta.items())
-            if best is None or dev < best[0] - 1e-9:
-                best = (dev, omega, beta)
+    grid = [known] if known else [(o, b) for o in (OMEGAS if late.any() and early.any() else OMEGAS[:1]) for b in (BETAS if o else BETAS[1:2])]
+    for omega, beta in grid:
+        theta, c = fit(early if early.any() else present, omega, beta, 1)
+        dev = sum(deviance(counts[n][late], np.maximum(c * soft(n, th), 1e-9)[late]) for n, th in theta.items())
+        if best is None or dev < best[0] - 1e-9:
+            best = (dev, omega, beta)
     dev, omega, beta = best
     theta, c = fit(present, omega, beta, rounds)
     lam = np.concatenate([(c * soft(n, th))[present] for n, th in theta.items()])
