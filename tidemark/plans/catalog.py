@@ -39,8 +39,8 @@ SELECT user_id, CAST(mass AS BIGINT) AS mass FROM m ORDER BY mass DESC, user_id
 def top_mass_last_day(spark, sf_dir):
     """AGG-09: the 20 heaviest narratives of the last 96 windows."""
     e = events(spark, sf_dir)
-    hi = e.agg(F.max("t").alias("hi"))
-    return e.join(F.broadcast(hi)).where("t > hi - 96").groupBy("user_id").agg(F.count("*").alias("mass")).orderBy(F.desc("mass"), "user_id").limit(20)  # one row; a top-k report
+    hi = e.agg(F.max("t")).scalar()
+    return e.where(F.col("t") > hi - 96).groupBy("user_id").agg(F.count("*").alias("mass")).orderBy(F.desc("mass"), "user_id").limit(20)  # a top-k report
 
 
 @query(f"{EV} SELECT user_id, CAST(floor(t / 4) AS BIGINT) AS hour_no, CAST(count(*) AS BIGINT) AS y FROM e GROUP BY 1, 2")

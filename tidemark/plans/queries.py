@@ -175,8 +175,8 @@ def weighted_edge_prob(spark, sf_dir):
 
 def edge_probabilities(e: DataFrame) -> DataFrame:
     a = alpha_rows(e)
-    hi = e.agg(F.max("t").alias("hi"))
-    a = a.join(F.broadcast(hi)).withColumn("w", F.exp(-(F.col("hi") - F.col("t")) * 0.25 / 72.0))  # one row
+    hi = e.agg(F.max("t")).scalar()
+    a = a.withColumn("w", F.exp(-(hi - F.col("t")) * 0.25 / 72.0))
     den = a.where("source = 'BOT'").groupBy("user_id").agg(F.sum(F.col("w") * F.col("y")).alias("den"))
     num = a.where("alpha >= 0.01").groupBy("user_id", "source").agg(F.sum(F.col("w") * F.col("y") * F.col("alpha")).alias("num"))
     return num.join(den, "user_id").select("user_id", "source", (F.col("num") / F.col("den")).alias("p"))
@@ -203,9 +203,9 @@ def lift_links(spark, sf_dir):
     from tidemark.operators.search import link_scores
 
     e = table(spark, sf_dir, "embeddings", "vec_id", "label")
-    n = e.agg(F.count("*").alias("n"))
-    d = table(spark, sf_dir, "documents", "doc_id", "text", "n_chars").join(F.broadcast(n))  # one row
-    d = d.select((F.col("doc_id") % F.col("n")).alias("vec_id"), F.lower("text").rlike("(license|licensed|http|@)").alias("hit"), F.exp(-F.col("n_chars").cast("double") / 10000).alias("w"))
+    n = e.agg(F.count("*")).scalar()
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
+    d = d.select((F.col("doc_id") % n).alias("vec_id"), F.lower("text").rlike("(license|licensed|http|@)").alias("hit"), F.exp(-F.col("n_chars").cast("double") / 10000).alias("w"))
     s = link_scores(d.join(e, "vec_id"), "label", "hit", "w")
     place = F.row_number().over(W.orderBy(F.desc("score"), "label"))  # one row per group
     return s.withColumn("place", place).where("place <= 25").select("label", r6(F.col("score")).alias("score"), "place")
