@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -180,18 +181,17 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
         if held:
             yield flush()
 
-    return marked.mapInArrow(run, "path string, records long, bytes long")
+    # in order, so that a task that runs again cuts its archives at the same records
+    return marked.sortWithinPartitions("k", "u", "d").mapInArrow(run, "path string, records long, bytes long")
 
 
 def _put(path: str, raw: bytes) -> None:
     """The whole file or none of it: written beside its place, then moved there."""
-    import os
-
     from pyarrow import fs
 
     store, place = fs.FileSystem.from_uri(path)
     store.create_dir(place.rpartition("/")[0], recursive=True)
-    beside = f"{place.rpartition('/')[0]}/_{os.getpid()}-{place.rpartition('/')[2]}"
+    beside = f"{place.rpartition('/')[0]}/_{uuid.uuid4().hex}-{place.rpartition('/')[2]}"
     with store.open_output_stream(beside, compression=None) as f:
         f.write(raw)
     store.move(beside, place)
