@@ -37,8 +37,8 @@ def adjusted(prices: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def returns(series: DataFrame, close: str = "close") -> DataFrame:
-    """(symbol, day, r): change against the row before; null for a symbol's first."""
-    return series.select("symbol", "day", (F.col(close) / F.lag(close).over(W.partitionBy("symbol").orderBy("day")) - 1).alias("r"))
+    """(symbol, day, r): change against the row before; null for a symbol's first and after a zero."""
+    return series.select("symbol", "day", (F.try_divide(F.col(close), F.lag(close).over(W.partitionBy("symbol").orderBy("day"))) - 1).alias("r"))
 
 
 def market_model(own: DataFrame, market: DataFrame, limits: Limits = Limits(), least: int = 200) -> DataFrame:
@@ -51,9 +51,9 @@ def market_model(own: DataFrame, market: DataFrame, limits: Limits = Limits(), l
     on = lambda f: f("r", "m").over(w)
     f = j.select("symbol", "day", "r", "m", on(F.regr_slope).alias("beta"), on(F.regr_intercept).alias("alpha"), on(F.regr_count).alias("n"), on(F.regr_sxx).alias("sxx"), on(F.regr_syy).alias("syy"), on(F.regr_sxy).alias("sxy"), on(F.regr_avgx).alias("mx"))
     f = f.where(F.col("n") >= least).withColumn("ar", F.col("r") - F.col("alpha") - F.col("beta") * F.col("m"))
-    s2 = (F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) / (F.col("n") - 2)
+    s2 = (F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx"))) / (F.col("n") - 2)
     off = F.col("m") - F.col("mx")
-    return f.select("symbol", "day", "n", "alpha", "beta", "r", "m", "ar", (F.col("ar") / F.sqrt(s2 * (1 + 1 / F.col("n") + off * off / F.col("sxx")))).alias("sar"))
+    return f.select("symbol", "day", "n", "alpha", "beta", "r", "m", "ar", F.try_divide(F.col("ar"), F.sqrt(s2 * (1 + 1 / F.col("n") + F.try_divide(off * off, F.col("sxx"))))).alias("sar"))
 
 
 def residual_correlations(ar: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -66,7 +66,7 @@ def residual_correlations(ar: DataFrame, limits: Limits = Limits()) -> DataFrame
 def daily_statistics(prices: DataFrame, market: str, limits: Limits = Limits()) -> DataFrame:
     """OBS-01: one row per symbol and day with R, gap, AR, SAR, Mz, Mv, Mg, fired. prices: symbol, day, open, close, volume."""
     own = W.partitionBy("symbol").orderBy("day")
-    p = prices.select("symbol", "day", "volume", (F.col("open") / F.lag("close").over(own) - 1).alias("gap"), (F.col("close") / F.lag("close").over(own) - 1).alias("r"))
+    p = prices.select("symbol", "day", "volume", (F.try_divide(F.col("open"), F.lag("close").over(own)) - 1).alias("gap"), (F.try_divide(F.col("close"), F.lag("close").over(own)) - 1).alias("r"))
     p = p.withColumn("lv", F.log(F.greatest(F.col("volume"), F.lit(1)).cast("double"))).withColumn("volumes", F.collect_list("lv").over(own.rowsBetween(-limits.volume, -1)))
     m = p.where(F.col("symbol") == market).select("day", F.col("r").alias("m"))
     j = p.where(F.col("symbol") != market).join(m, "day")
@@ -113,7 +113,7 @@ def cutoff(fired: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def bar_alerts(bars: DataFrame, symbol: str, order: list[str], close: str, volume: str, bars_kept: int = 60, ripe: int = 15, z: float = 4.0, ratio: float = 3.5) -> DataFrame:
     """STR-06 in batch: a bar's return and volume against the others of the last bars_kept; 0 and 1 before `ripe` of them."""
     w = W.partitionBy(symbol).orderBy(*order)
-    b = bars.withColumn("_r", F.col(close) / F.lag(close).over(w) - 1)
+    b = bars.withColumn("_r", F.try_divide(F.col(close), F.lag(close).over(w)) - 1)  # null after a zero
     # a frame of n bars has n - 1 returns, the last of which is judged
     early = w.rowsBetween(-(bars_kept - 2), -1)
     b = b.select("*", F.count("*").over(w.rowsBetween(-(bars_kept - 1), 0)).alias("_n"), F.avg("_r").over(early).alias("_m"), F.stddev_pop("_r").over(early).alias("_s"), F.avg(volume).over(w.rowsBetween(-(bars_kept - 1), -1)).alias("_v"))
@@ -124,12 +124,12 @@ def bar_alerts(bars: DataFrame, symbol: str, order: list[str], close: str, volum
 
 def session_bars(trades: DataFrame, session: str) -> DataFrame:
     """AGG-20: trades have `at` (an order), price and volume."""
-    return trades.groupBy(session).agg(F.min_by("price", "at").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "at").alias("close"), (F.sum(F.col("price") * F.col("volume")) / F.sum("volume")).alias("vwap"), F.stddev_pop("price").alias("sd"))
+    return trades.groupBy(session).agg(F.min_by("price", "at").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "at").alias("close"), F.try_divide(F.sum(F.col("price") * F.col("volume")), F.sum("volume")).alias("vwap"), F.stddev_pop("price").alias("sd"))
 
 
 def change_since(prices: DataFrame, reference: Column) -> DataFrame:
     """WIN-11: change from the last close before a day."""
-    return prices.groupBy("symbol").agg((F.max_by("close", "day") / F.max_by(F.when(F.col("day") < reference, F.col("close")), F.when(F.col("day") < reference, F.col("day"))) - 1).alias("change"))
+    return prices.groupBy("symbol").agg((F.try_divide(F.max_by("close", "day"), F.max_by(F.when(F.col("day") < reference, F.col("close")), F.when(F.col("day") < reference, F.col("day")))) - 1).alias("change"))
 
 
 def quiet_days(statistics: DataFrame, below: float = 1.0) -> DataFrame:

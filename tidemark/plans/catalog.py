@@ -189,7 +189,7 @@ def stable_ids(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT *, 255.0::DOUBLE * n / sum(n) OVER (PARTITION BY user_id) AS raw FROM p),
-f AS (SELECT *, floor(round(raw, 9)) AS base, row_number() OVER (PARTITION BY user_id ORDER BY round(raw, 9) - floor(round(raw, 9)) DESC, event_type) AS place, 255 - sum(floor(round(raw, 9))) OVER (PARTITION BY user_id) AS spare FROM s)
+f AS (SELECT *, floor(round(raw, 9)) AS base, row_number() OVER (PARTITION BY user_id ORDER BY round(round(raw, 9) - floor(round(raw, 9)), 9) DESC, event_type) AS place, 255 - sum(floor(round(raw, 9))) OVER (PARTITION BY user_id) AS spare FROM s)
 SELECT user_id, event_type, CAST(base + CASE WHEN place <= spare THEN 1 ELSE 0 END AS BIGINT) AS share255 FROM f""")
 def shares_255(spark, sf_dir):
     """MTH-07, E2A-04: shares as whole 255ths by largest remainder, ties to the smaller name."""

@@ -107,7 +107,7 @@ def trailing_volume_ratio(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT user_id, event_id, ts, value AS c, CAST(json_extract(props, '$.k') AS DOUBLE) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
-r AS (SELECT *, c / lag(c) OVER w - 1 AS ret FROM b WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+r AS (SELECT *, c / nullif(lag(c) OVER w, 0) - 1 AS ret FROM b WINDOW w AS (PARTITION BY user_id ORDER BY i)),
 s AS (SELECT *, count(*) OVER f AS n, list(ret) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 58 PRECEDING AND 1 PRECEDING) AS rs, avg(v) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 59 PRECEDING AND 1 PRECEDING) AS vm FROM r WINDOW f AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
 z AS (SELECT *, list_avg(list_filter(rs, lambda x: x IS NOT NULL)) AS rm, list_stddev_pop(list_filter(rs, lambda x: x IS NOT NULL)) AS sd FROM s),
 o AS (SELECT user_id, event_id, CASE WHEN n < 15 THEN 0.0 ELSE (ret - rm) / (sd + 1e-8) END AS z, CASE WHEN n < 15 THEN 1.0 ELSE v / (vm + 1) END AS q FROM z)
@@ -179,7 +179,7 @@ def edge_probabilities(e: DataFrame) -> DataFrame:
     a = a.withColumn("w", F.exp(-(hi - F.col("t")) * 0.25 / 72.0))
     den = a.where("source = 'BOT'").groupBy("user_id").agg(F.sum(F.col("w") * F.col("y")).alias("den"))
     num = a.where("alpha >= 0.01").groupBy("user_id", "source").agg(F.sum(F.col("w") * F.col("y") * F.col("alpha")).alias("num"))
-    return num.join(den, "user_id").select("user_id", "source", (F.col("num") / F.col("den")).alias("p"))
+    return num.join(den, "user_id").select("user_id", "source", F.try_divide(F.col("num"), F.col("den")).alias("p"))
 
 
 @query(f"""{ALPHA}, k AS (SELECT max(t) AS hi FROM e), q AS (SELECT *, exp(-(SELECT hi - u.t FROM k) * 0.25 / 72.0) AS w FROM u),
@@ -485,7 +485,7 @@ def window_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = grid.join(y, ["user_id", "t"], "left").select("user_id", "t", F.coalesce("y", F.lit(0)).cast("double").alias("y"))
     day = W.partitionBy("user_id").orderBy("t").rowsBetween(-96, -1)
     z = d.select("user_id", "t", "y", F.avg("y").over(day).alias("m"), F.stddev_pop("y").over(day).alias("s"), F.count("*").over(day).alias("n"))
-    z = z.where("n = 96 AND s > 0").select("user_id", F.col("t").alias("win"), F.col("y").cast("long").alias("y"), r6((F.col("y") - F.col("m")) / F.col("s")).alias("z"))
+    z = z.where("n = 96 AND s > 0").select("user_id", F.col("t").alias("win"), F.col("y").cast("long").alias("y"), r6(F.try_divide(F.col("y") - F.col("m"), F.col("s"))).alias("z"))
     return z.where("z >= 4").orderBy(F.desc("z"), "user_id", "win")
 
 
