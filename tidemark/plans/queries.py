@@ -483,9 +483,11 @@ def window_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = e.groupBy("user_id", "t").agg(F.count("*").alias("y"))
     grid = e.groupBy("user_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).select("user_id", F.explode(F.sequence("lo", "hi")).alias("t"))
     d = grid.join(y, ["user_id", "t"], "left").select("user_id", "t", F.coalesce("y", F.lit(0)).cast("double").alias("y"))
-    day = W.partitionBy("user_id").orderBy("t").rowsBetween(-96, -1)
-    z = d.select("user_id", "t", "y", F.avg("y").over(day).alias("m"), F.stddev_pop("y").over(day).alias("s"), F.count("*").over(day).alias("n"))
-    z = z.where("n = 96 AND s > 0").select("user_id", F.col("t").alias("win"), F.col("y").cast("long").alias("y"), r6(F.try_divide(F.col("y") - F.col("m"), F.col("s"))).alias("z"))
+    # running sums and their difference over a day: one step a row, where a sliding frame takes 96
+    own = W.partitionBy("user_id").orderBy("t")
+    z = d.select("user_id", "t", "y", F.row_number().over(own).alias("i"), *[F.coalesce(F.sum(x).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias(n) for x, n in ((F.col("y"), "s1"), (F.col("y") * F.col("y"), "s2"))])
+    z = z.select("user_id", "t", "y", "i", *[(F.col(n) - F.lag(n, 96).over(own)).alias(n) for n in ("s1", "s2")]).where("i > 96 AND 96 * s2 > s1 * s1")
+    z = z.select("user_id", F.col("t").alias("win"), F.col("y").cast("long").alias("y"), r6(F.try_divide(96 * F.col("y") - F.col("s1"), F.sqrt(96 * F.col("s2") - F.col("s1") * F.col("s1")))).alias("z"))
     return z.where("z >= 4").orderBy(F.desc("z"), "user_id", "win")
 
 
