@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, pieces, quality, simhash
+from tidemark.llm import alike, decontaminate, line_dedup, pieces, quality
 from tidemark.session import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,8 +25,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by five-word shingles."""
-    return simhash.keep_one(docs.select(*COLUMNS), size=5)
+    """One document of each group of near-duplicates: five-word shingles with a similarity of 0.8, and what SimHash links."""
+    return alike.keep_one(docs.select(*COLUMNS), size=5, least=0.8)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

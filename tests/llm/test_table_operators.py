@@ -108,6 +108,40 @@ def test_one_of_each_group_stays(spark):
     assert simhash.simhash(b"a " * 200_000) == plain_simhash("a a a a")
 
 
+def test_near_copies_at_0_8_are_linked(spark):
+    """All pairs of five-word shingle sets; most of these are further apart than four bits."""
+    from tidemark.llm import alike
+
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [rng.choices(words, k=rng.randint(60, 200)) for _ in range(30)]
+    for t in texts[:25]:
+        for _ in range(2):
+            u = list(t)
+            u[rng.randrange(len(u))] = rng.choice(words)
+            texts.append(u[: len(u) - rng.randint(0, 5)])
+    rows = [(i, " ".join(t), "", 0) for i, t in enumerate(texts)]
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    prints = [plain_simhash(r[1], 5) for r in rows]
+    label = list(range(len(rows)))
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            jaccard, bits = len(sets[i] & sets[j]) / len(sets[i] | sets[j]), (prints[i] ^ prints[j]).bit_count()
+            far += jaccard >= 0.8 and bits > 4
+            if (jaccard >= 0.8 or bits <= 4) and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert far > 20
+    got = {r.doc_id: r.component_id for r in alike.alike_groups(docs(spark, rows + [(None, rows[0][1], "", 0), (900, None, "", 0), (901, " ", "", 0)])).collect()}
+    assert got.pop(None) == 0 and got.pop(900) == got.pop(901) == 900
+    assert got == dict(enumerate(label))
+    import corpus_pipeline as p
+
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t, *_ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in p.keep_one(spark, df, "").collect()} == set(label)
+
+
 # line templates
 
 
