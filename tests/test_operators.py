@@ -256,3 +256,22 @@ def test_clusters_take_like_documents_together():
         c.close([[f"e{i % 3}"]])
     assert [len(set(ids[k::3])) for k in range(3)] == [1, 1, 1] and len(set(ids)) == 3
     assert sum(narratives.shares_255([0.3, 0.1])) == 255
+
+
+def test_components_take_every_order(spark, tmp_path):
+    from tidemark.plans.queries import QUERIES
+
+    orders = [(c, k) for k, c in enumerate([3, 90_001, 24, 7, 1503, 3, 55, 90_001, 2, 8, 23, 7], start=1)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    top = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for c, k in orders:
+        a, b = sorted((root(c), root(7 * c + k)))
+        top[b] = a
+    got = {r.node: r.component for r in QUERIES["connected_components_of_customers"](spark, str(tmp_path)).collect()}
+    assert got == {x: root(x) for x in top} and 90_001 in got

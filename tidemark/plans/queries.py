@@ -254,6 +254,13 @@ def connected_components_of_pairs(spark, sf_dir):
     return connected_components(o.select((F.col("o_custkey") % 1500).alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).alias("b")))
 
 
+@query()
+def connected_components_of_customers(spark, sf_dir):
+    """AGG-15: the least node reachable, over the links of all orders between unfolded customer ids."""
+    o = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey")
+    return connected_components(o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 + F.col("o_orderkey")).alias("b")))
+
+
 @query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)
 SELECT day, timezone('America/New_York', CAST(day AS TIMESTAMP) + INTERVAL 4 HOUR) AT TIME ZONE 'UTC' AS early_utc, timezone('America/New_York', CAST(day AS TIMESTAMP) + INTERVAL 570 MINUTE) AT TIME ZONE 'UTC' AS regular_utc, timezone('Europe/Amsterdam', CAST(day AS TIMESTAMP) + INTERVAL 9 HOUR) AT TIME ZONE 'UTC' AS amsterdam_utc FROM d""")
 def session_cutoffs_utc(spark, sf_dir):
