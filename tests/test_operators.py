@@ -275,3 +275,20 @@ def test_components_take_every_order(spark, tmp_path):
         top[b] = a
     got = {r.node: r.component for r in QUERIES["connected_components_of_customers"](spark, str(tmp_path)).collect()}
     assert got == {x: root(x) for x in top} and 90_001 in got
+
+
+def test_traces_run_from_first_to_last_window(spark, tmp_path):
+    import math
+    from datetime import datetime, timedelta
+
+    from tidemark.plans.queries import QUERIES
+
+    at = {1: [0, 0, 3, 900], 2: [500, 501]}
+    rows = [(u, datetime(2024, 1, 1) + timedelta(minutes=15 * w + 1)) for u, ws in at.items() for w in ws]
+    spark.createDataFrame(rows, "user_id long, ts timestamp").selectExpr("user_id", "CAST(ts AS timestamp_ntz) AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.user_id, r.win): r for r in QUERIES["ewma_traces_of_all_windows"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, w) for w in range(901)} | {(2, 500), (2, 501)}
+    for (u, w), r in got.items():
+        for n, tau in (("z1h", 1.0), ("z6h", 6.0), ("z1d", 24.0), ("z1w", 168.0)):
+            want = sum((1 - math.exp(-0.25 / tau)) * math.exp(-0.25 / tau * (w - 1 - b)) for b in at[u] if b < w)
+            assert abs(r[n] - want) < 2e-6

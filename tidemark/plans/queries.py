@@ -429,6 +429,15 @@ def ewma_traces_1h_6h_1d_1w(spark, sf_dir):
     return z.select("user_id", F.col("t").alias("win"), *[r6(F.col(c)).alias(c) for c in ("z1h", "z6h", "z1d", "z1w")])
 
 
+@query()
+def ewma_traces_of_all_windows(spark, sf_dir):
+    """WIN-07: decayed sums of the counts before each window, four time constants, from each user's first window to its last."""
+    from tidemark.operators.attention import traces_of
+
+    z = traces_of(events(spark, sf_dir).groupBy("user_id", "t").agg(F.count("*").cast("double").alias("y")), "user_id", "t", "y")
+    return z.select("user_id", F.col("t").alias("win"), *[r6(F.col(c)).alias(c) for c in ("z1h", "z6h", "z1d", "z1w")])
+
+
 @query()
 def min_arborescence(spark, sf_dir):
     """E3A-04..07: the cheapest explanation of each user's terminals over its own cost graph, with rival entries."""
