@@ -292,3 +292,16 @@ def test_traces_run_from_first_to_last_window(spark, tmp_path):
         for n, tau in (("z1h", 1.0), ("z6h", 6.0), ("z1d", 24.0), ("z1w", 168.0)):
             want = sum((1 - math.exp(-0.25 / tau)) * math.exp(-0.25 / tau * (w - 1 - b)) for b in at[u] if b < w)
             assert abs(r[n] - want) < 2e-6
+
+
+def test_all_pairs_whatever_the_blocks(spark):
+    import numpy as np
+
+    from tidemark.operators.narratives import all_pairs
+
+    v = np.random.default_rng(5).normal(size=(60, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if u[i] @ u[j] >= 0.3}
+    got = [(r.a, r.b) for r in all_pairs(df, "id", "v", 0.3, block=25).collect()]
+    assert set(got) == want and len(got) == len(want)

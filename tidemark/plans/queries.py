@@ -323,6 +323,15 @@ def near_dup_pairs(spark, sf_dir):
     return bucket_pairs(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", least=0.3).select("a", "b", r6(F.col("cosine")).alias("cosine"))
 
 
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e)
+SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.v, y.v), 6) AS cosine FROM u x JOIN u y ON x.vec_id < y.vec_id WHERE list_dot_product(x.v, y.v) >= 0.3""")
+def all_pairs_at_0_3(spark, sf_dir):
+    """JOIN-14: all pairs that have a cosine of 0.3 or more, in whatever buckets they lie."""
+    from tidemark.operators.narratives import all_pairs
+
+    return all_pairs(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 0.3).select("a", "b", r6(F.col("cosine")).alias("cosine"))
+
+
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query, e.vec_id AS neighbour, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(e.v, e.v)) AS c FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query, neighbour, round(c, 6) AS cosine, CAST(row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, neighbour) AS INTEGER) AS place FROM p QUALIFY place <= 20""")
 def top_k_neighbours(spark, sf_dir):
