@@ -305,3 +305,16 @@ def test_all_pairs_whatever_the_blocks(spark):
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if u[i] @ u[j] >= 0.3}
     got = [(r.a, r.b) for r in all_pairs(df, "id", "v", 0.3, block=25).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_words_past_the_first_line_count(spark, tmp_path):
+    from tidemark.plans import catalog  # noqa: F401  registers its queries
+    from tidemark.plans.queries import QUERIES
+
+    rows = [(1, "one\nsame same", "o", "en"), (2, "two\nsame. last", "o", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {n: QUERIES[f"{n}_of_texts"](spark, str(tmp_path)).collect() for n in ("entity_jaccard", "subject_by_outlet", "entity_profiles", "text_scalars")}
+    assert got["entity_jaccard"][0].jaccard == 0.25
+    assert (got["subject_by_outlet"][0].subject, got["subject_by_outlet"][0].n) == ("same", 3)
+    assert len(got["entity_profiles"]) == 4
+    assert sorted((r.norm, r.parts) for r in got["text_scalars"]) == [(" one same same ", 1), (" two same  last ", 2)]
