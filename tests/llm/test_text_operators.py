@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, pieces, pii, quality, token_counts
+from tidemark.llm import decontaminate, pieces, quality, token_counts
 from tidemark.llm.common import tokenizer_path
 
 DOC = "doc_id long, text string, k string, n long"
@@ -71,58 +71,6 @@ def test_no_items_no_documents_and_the_filter(spark):
     assert kept.columns == ["doc_id", "text", "k", "n"] and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "5", "None"]
 
 
-# personal data
-
-
-def plain_spans(t):
-    digits = lambda s: re.sub("[^0-9]", "", s)
-    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
-    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
-    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m[0])) <= 15]
-    return sorted(out)
-
-
-def test_base_spans_against_the_patterns():
-    rng = random.Random(2)
-    for alphabet in ("1234567890..@@ab-+ ()%", "0123.", "a@.b", "4111 -", "+1 (2)-."):
-        for _ in range(1500):
-            t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 45)))
-            assert pii.base_spans(t) == plain_spans(t), t
-    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
-    for t in ("a" * 200_000 + "@", "1" * 200_000, "1." * 100_000, "+1" * 100_000, "+" + "1(" * 100_000):
-        pii.base_spans(t)
-
-
-def test_messages_are_exact_on_chains():
-    rng = np.random.default_rng(0)
-    f = pii.Field(rng.normal(size=(pii.SIZE, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
-    rows = rng.integers(0, pii.SIZE, (4, 3))
-    chain, skip = np.array([[0, 1], [1, 2]]), np.array([[2, 3]])
-    unary, total = f.node[rows].sum(1), np.zeros((4, 5))
-    for labels in itertools.product(range(5), repeat=4):
-        p = np.exp(sum(unary[i, x] for i, x in enumerate(labels)) + sum(f.chain[labels[a], labels[b]] for a, b in chain) + sum(f.skip[labels[a], labels[b]] for a, b in skip))
-        for i, x in enumerate(labels):
-            total[i, x] += p
-    assert np.allclose(pii.beliefs(f, rows, chain, skip, rounds=60), total / total.sum(1, keepdims=True), atol=1e-6)
-
-
-def test_a_repeated_token_takes_its_twins_label(spark):
-    rng = random.Random(5)
-    phone = lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
-    rows = [(i, f"call {phone()} now\nor {rng.randint(1, 99)} items" if i % 2 else f"version {rng.randint(1, 9)}.{rng.randint(1, 9)} of {rng.randint(1000, 9999)}", "", 0) for i in range(100, 400)]
-    got = {str(r.doc_id): r for r in pii.personal_data(docs(spark, rows + ODD), pii.fit_field(docs(spark, rows))).collect()}
-    assert len(got) == 300 + 6
-    for i, t, *_ in rows:
-        base = plain_spans(t)
-        r = got[str(i)]
-        assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest() and r.n_phone == sum(k == 3 for _, k, _ in base)
-        assert set(pii.joined(base).split(",")) <= set(r.spans.split(","))
-    assert sum(got[str(i)].spans != "" for i in range(100, 400, 2)) <= 3  # clean ones stay clean
-    assert got["101"].spans and pii.fit_field(docs(spark, [])) is not None
-    assert pii.skip_edges(pii.tokens("x 5551234 y\nz 555-1234\nw 5551234.")) == [(0, 1), (1, 2)]
-
-
 # quality
 
 

@@ -6,11 +6,27 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: str) -> DataFrame:
+def col(name: str) -> Column:
+    """A column by its plain name, which may hold dots, spaces and quotes."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def with_key(docs: DataFrame, key: str, rest: str) -> StructType:
+    """A schema of docs' key column, whatever its name, and further columns in DDL."""
+    return StructType([docs.schema[key], *StructType.fromDDL(rest).fields])
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow for columns of any name, which it can't resolve itself: run takes them by place."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+
+def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: str | StructType) -> DataFrame:
     """df through a function of record batches. make() runs once in each task and may keep state there.
 
     The function returns columns in the schema's order, or None for no rows.
@@ -23,13 +39,13 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]
             if b.num_rows and (out := f(b)) is not None:
                 yield pa.RecordBatch.from_arrays([x.cast(k.type) if isinstance(x, pa.Array) else pa.array(x, k.type) for x, k in zip(out, kinds, strict=True)], schema=kinds)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
-def _arrow(schema: str) -> pa.Schema:
+def _arrow(schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def utf8(column: pa.Array) -> Iterator[bytes]:
