@@ -3,13 +3,16 @@
 import itertools
 import math
 import random
+import re
+import uuid
 from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import attention, dedup, narratives, observer, search, verdicts
+from tidemark import session
+from tidemark.operators import attention, components, dedup, narratives, observer, search, verdicts
 from tidemark.operators.components import connected_components
 
 
@@ -64,6 +67,44 @@ def test_copies_by_image_names_and_author():
     assert dedup.replay(vec)[1] == ("000", "L2:A:image+embedding")
 
 
+def sides_of_joins(plan: str) -> list[str]:
+    """The operator below each sort under a sort-merge join; AQE splits a join only at plain exchanges."""
+    lines = [re.sub(r"^[\s:+*()\d-]*", "", x) for x in plan.splitlines()]
+    out, joins = [], 0
+    for a, b in zip(lines, lines[1:], strict=False):
+        joins += 2 if a.startswith("SortMergeJoin") else 0
+        if joins and a.startswith("Sort "):
+            out.append(b.split(" ")[0].split("(")[0])
+            joins -= 1
+    return out
+
+
+def test_component_joins_can_be_split_at_a_hub(spark, monkeypatch):
+    plans = []
+    plain = components.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(components, "written", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hub = spark.range(1, 3000).selectExpr("id AS a", "0L AS b").unionByName(spark.range(5000, 5100).selectExpr("id AS a", "id + 1 AS b"))
+        got = connected_components(hub)
+        assert got.groupBy("component").count().orderBy("component").collect() == [(0, 3000), (5000, 101)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sides = [x for p in plans for x in sides_of_joins(p)]
+    assert len(sides) >= 4 and set(sides) == {"Exchange"}
+
+
+def test_rounds_leave_one_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark, name: f"file://{tmp_path}/{name}-{uuid.uuid4().hex}")
+    connected_components(spark.range(1, 40).selectExpr("id AS a", "id + 1 AS b"), name="rounds").count()
+    assert len([p for p in tmp_path.iterdir() if p.is_dir()]) == 1
+
+
 def test_copies_inside_components_are_those_of_one_pass(spark):
     rng = random.Random(5)
     rows = articles(*({"title": f"story number {rng.randrange(8)} of the day", "source_name": f"s{rng.randrange(3)}", "sharing_image": rng.choice(["", "", "p1", "p2", "p3"]), "all_names": rng.sample(["a", "b", "c"], rng.randrange(4))} for _ in range(150)))

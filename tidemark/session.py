@@ -30,18 +30,38 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path under spark.checkpoint.dir; a local one only where that is unset."""
+    """A new folder's path under spark.checkpoint.dir. Where that is unset a local session takes a local folder; a cluster has none that all its machines see."""
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {sc.master} share")
         top = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-shared")
         sc.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Names of the folders that `written` made, by the table's place, so that `discard` deletes nothing else.
+_WRITTEN: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends here, and a lost executor costs nothing that was done."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    _WRITTEN.add(path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` returned, once nothing that is still to run reads them."""
+    for t in tables:
+        path = getattr(t, "_tidemark_path", None)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            jvm = t.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
