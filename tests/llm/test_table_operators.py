@@ -2,8 +2,13 @@
 
 import base64
 import hashlib
+import io
 import random
+import re
 import struct
+import time
+import tracemalloc
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -304,9 +309,146 @@ def test_broken_archives_are_refused():
     assert base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex() == digest
 
 
+def test_reading_is_linear_and_bounded(tmp_path):
+    """Four times the records take about four times the time, and a large archive needs little memory."""
+    digest = hashlib.sha1(b"x" * 200).hexdigest()
+
+    def made(n):
+        return warc.archive([warc.record(str(i), f"http://h/{i}", b"x" * 200, digest, None) for i in range(n)])
+
+    small, large = made(5_000), made(20_000)
+    took = {}
+    for name, raw in (("small", small), ("large", large), ("small again", small)):
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.frames(raw)) == (5_000 if "small" in name else 20_000)
+        took[name] = time.perf_counter() - began
+    assert took["large"] < 8 * max(took["small"], took["small again"], 0.02)
+    c = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(b"0123456789" * 50, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    rng, path = random.Random(1), tmp_path / "foreign.warc.zst"
+    with open(path, "wb") as f:
+        f.write(struct.pack("<II", warc.MAGIC, 500) + b"0123456789" * 50)
+        for i in range(60):
+            body = rng.randbytes(1_000_000)
+            f.write(c.compress(warc.record(str(i), "u", body, hashlib.sha1(body).hexdigest(), None)))
+    tracemalloc.start()
+    with warc._open(f"file:{path}") as stream:
+        assert sum(len(x) for x in warc.frames(stream)) > 60_000_000
+    assert tracemalloc.get_traced_memory()[1] < 12_000_000
+    tracemalloc.stop()
+
+
+def test_frames_of_every_form():
+    """Frame ends are found for all header forms: sizes, checksums, dictionary ids, repeated and raw blocks, streams of many blocks."""
+    rng = random.Random(3)
+    d = zstandard.ZstdCompressionDict(b"abcdefgh" * 100, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    bodies = [b"", b"a", b"z" * 300, b"q" * 70_000, rng.randbytes(500), rng.randbytes(300_000), b"abcdefgh" * 40_000]
+    out, want = [], []
+    for body in bodies:
+        for options in ({}, {"write_checksum": True}, {"write_content_size": False}, {"write_dict_id": False, "write_checksum": True}):
+            c = zstandard.ZstdCompressor(dict_data=d, **options)
+            out.append(c.compress(body))
+            z = c.compressobj()
+            out.append(z.compress(body) + z.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK) + z.compress(body) + z.flush())
+            want += [body, body + body]
+    raw = struct.pack("<II", warc.MAGIC, 800) + b"abcdefgh" * 100 + b"".join(out)
+    assert list(warc.frames(raw)) == want
+    for part in (1, 7, 1000):
+        b = warc._Bytes(io.BytesIO(b"".join(out)), part)
+        assert [b.take(warc.frame_size(b)) for _ in out] == out and not b.has(1)
+
+
+def test_foreign_records_are_rows_without_a_payload(spark, tmp_path):
+    def one(kind, block, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": "<urn:x>", "WARC-Date": warc.DATE, "Content-Length": str(len(block)), **more}
+        return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    http = {"Content-Type": "application/http; msgtype=response"}
+    records = [
+        one("warcinfo", b"software: x\r\n"), one("request", b"GET / HTTP/1.1\r\n\r\n", **{"Content-Type": "application/http; msgtype=request"}), one("metadata", b""),
+        one("response", b"HTTP/1.1 200 OK\r\n\r\nhello", **http, **{"WARC-Target-URI": "http://a/"}), one("response", b"dns answer", **{"Content-Type": "text/dns"}),
+        one("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\n", **http, **{"WARC-Payload-Digest": "sha1:" + base64.b32encode(hashlib.sha1(b"hello").digest()).decode()}),
+        one("revisit", b"", **http),
+    ]
+    (tmp_path / "crawl.warc.zst").write_bytes(warc.archive(records))
+    (tmp_path / "part-0.warc.zst").write_bytes(warc.archive([warc.record("7", "u", b"own", hashlib.sha1(b"own").hexdigest(), None)]))
+    got = sorted(((r.record_type, r.page_id, r.payload_bytes, r.payload and bytes(r.payload)) for r in warc.read_archives(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([("warcinfo", None, None, None), ("request", None, None, None), ("metadata", None, None, None), ("response", None, 5, b"hello"), ("response", None, None, None), ("response", None, 15, b"5\r\nhello\r\n0\r\n\r\n"), ("revisit", None, None, None), ("response", "7", 3, b"own")], key=str)
+
+
+def sides_of_joins(plan):
+    """The operator below each sort under a sort-merge join; AQE splits a join only at plain exchanges."""
+    lines = [re.sub(r"^[\s:+*()\d-]*", "", x) for x in plan.splitlines()]
+    out, joins = [], 0
+    for a, b in zip(lines, lines[1:], strict=False):
+        joins += 2 if a.startswith("SortMergeJoin") else 0
+        if joins and a.startswith("Sort "):
+            out.append(b.split(" ")[0].split("(")[0])
+            joins -= 1
+    return out
+
+
+def test_joins_at_hot_keys_can_be_split(spark, tmp_path):
+    """Payloads, fingerprints, line templates and digests that a third of the rows share meet their joins on plain exchanges."""
+    rows = [(i, "u" * 2000 if i % 3 == 0 else f"page {i} " * 300, "", 0) for i in range(60)]
+    table = spark.createDataFrame(rows, DOC)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = [warc.write_archives(table.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html")), f"file://{tmp_path}"), simhash.near_duplicates(table)]
+        for df in made:
+            sides = sides_of_joins(df._jdf.queryExecution().executedPlan().toString())
+            assert sides and set(sides) == {"Exchange"}, sides
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # fingerprints
 
 
+def plain_print(text):
+    """The fingerprint again, in plain Python."""
+    parts = [s.split("\n") for s in text.split("\n\n")]
+    run = re.compile(fingerprints.RUN, re.ASCII)
+    leaf = lambda x: f"{xxhash.xxh64_intdigest(x.encode(), 42) & 0xFFFFFFFF:08x}"
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    root = sha(",".join(sha(",".join(map(sha, s))) for s in parts))[:32]
+    return root + ":" + ";".join(",".join("".join(map(leaf, run.findall(p))) for p in s) for s in parts)
+
+
+def plain_likeness(a, b):
+    nodes = lambda x: {x.split(":")[0], *re.findall("[0-9a-f]{8}", x.split(":")[1])}
+    x, y = nodes(a), nodes(b)
+    return 2 * len(x & y) / (len(x) + len(y))
+
+
+def test_fingerprints_against_a_tree_in_python(spark):
+    rng = random.Random(4)
+    pool = ["word", "é", "x\t", " ", "\n", "\n\n", "\r\n", "d😀", "\u00a0", "long" * 9]
+    texts = ["", " ", "\n", "\n\n\n"] + [" ".join(rng.choices(pool, k=rng.randint(1, 60))) for _ in range(80)]
+    texts += texts[5:12]  # equal neighbours in likeness
+    rows = [(i, t, "", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs(spark, rows)).collect()}
+    for i, t, *_ in rows:
+        after, cut, r = texts[(i + 1) % len(texts)], len(t) // 4, got[i]
+        edited = t[: len(t) - cut] + after[:cut]
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_print(t), plain_print(edited)), repr(t)
+        assert abs(r.near_edited - plain_likeness(plain_print(t), plain_print(edited))) < 1e-12 and abs(r.near_next - plain_likeness(plain_print(t), plain_print(after))) < 1e-12
+
+
+def test_equal_leaves_are_not_equal_texts(spark):
+    """Leaves are 32 bits wide, so some texts share theirs; their roots differ and so do they."""
+    seen = {}
+    for i in range(1_000_000):
+        h = xxhash.xxh64_intdigest(str(i).encode(), 42) & 0xFFFFFFFF
+        if h in seen:
+            break
+        seen[h] = i
+    a, b = str(seen[h]), str(i)
+    assert a != b
+    r = fingerprints.edited_fingerprints(docs(spark, [(1, a, "", 0), (2, b, "", 0)])).where("doc_id = 1").first()
+    other = spark.createDataFrame([(b,)], "t string").select(fingerprints.fingerprint(F.col("t"))).first()[0]
+    assert r.fingerprint.split(":")[1] == other.split(":")[1] and r.fingerprint != other and r.near_next < 1
+
+
 def test_edited_texts_and_likeness(spark):
     rng = random.Random(9)
     rows = [(i * 3, rng.choice(["\n", "\n\n", " "]).join(" ".join(rng.choices(["é", "abc", "d😀"], k=rng.randint(0, 12))) for _ in range(rng.randint(1, 9))), "", 0) for i in range(60)] + [(500, None, "", 0), (501, "", "", 0), (502, "same text", "", 0), (503, "same text", "", 0), (503, "same text", "", 0), (None, "abcdefgh", "", 0)]
@@ -331,10 +473,16 @@ def test_edited_texts_and_likeness(spark):
 
 def test_following_keys_over_many_ranges(spark):
     rng = random.Random(1)
-    keys = sorted(rng.sample(range(-10_000, 10_000), 500))
-    df = spark.createDataFrame([(k,) for k in keys + keys[:20]], "doc_id long")
-    got = {r.doc_id: r.following for r in fingerprints.next_keys(df, "doc_id", per_range=40).collect()}
-    assert got == dict(zip(keys, keys[1:] + keys[:1], strict=True))
+    numbers = sorted(rng.sample(range(-10_000, 10_000), 500))
+    words = sorted({f"key {rng.randrange(10**9)}" for _ in range(400)})
+    days = sorted({date(2020, 1, 1) + timedelta(days=rng.randrange(5000)) for _ in range(300)})
+    for keys, kind in ((numbers, "long"), (words, "string"), (days, "date"), ([k + 0.5 for k in numbers], "double")):
+        df = spark.createDataFrame([(k,) for k in [*keys, *keys[:20]]] + [(None,)], f"`the key.` {kind}")
+        got = {r["the key."]: r.following for r in fingerprints.next_keys(df, "the key.", per_range=40).collect()}
+        assert got == dict(zip(keys, keys[1:] + keys[:1], strict=True)), kind
+    rows = spark.createDataFrame([(w, f"text of {w}") for w in words], "`the key.` string, text string")
+    got = {r["the key."]: r for r in fingerprints.edited_fingerprints(rows, "the key.", per_range=40).collect()}
+    assert len(got) == len(words) and all(got[w].near_next < 1 for w in words)
 
 
 def test_branches_locate_edits(spark):

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import per_batch, utf8
+from tidemark.llm.common import col, per_batch, utf8, with_key
 from tidemark.operators.components import connected_components
 from tidemark.session import written
 
@@ -52,8 +52,7 @@ def simhash(text: bytes, size: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """(key, fp): the fingerprint as a signed 64-bit integer. Null and wordless texts have 0."""
-    kind = dict(docs.dtypes)[key]
-    return per_batch(docs.select(key, text), lambda: lambda b: [b.column(0), np.array([simhash(t, size) for t in utf8(b.column(1))], np.uint64).view(np.int64)], f"{key} {kind}, fp long")
+    return per_batch(docs.select(col(key), col(text)), lambda: lambda b: [b.column(0), np.array([simhash(t, size) for t in utf8(b.column(1))], np.uint64).view(np.int64)], with_key(docs, key, "fp long"))
 
 
 def masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
@@ -231,15 +230,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     only where no member has a key; rows that repeat a key are each a row.
     """
     fps = written(fingerprints(docs, key, text, size), "simhash-fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min(key).alias("least")), "simhash-distinct")
-    found = connected_components(written(link_edges(distinct.select("fp"), fragment).distinct(), "simhash-edges"), name="simhash-components")
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(roots, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    distinct = written(fps.groupBy("fp").agg(F.min(col(key)).alias("least")), "simhash-distinct")
+    edges = written(link_edges(distinct.select("fp"), fragment).distinct(), "simhash-edges")
+    # each side of a join is a table or a plain scan, so that AQE may split it at a large component or a hot fingerprint
+    found = written(connected_components(edges, name="simhash-components"), "simhash-found")
+    rooted = written(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "simhash-rooted")
+    roots = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-roots")
+    by_fp = written(rooted.join(roots, "root").select("fp", "component_id"), "simhash-components-of")
+    return fps.join(by_fp, "fp").select(col(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose key is their component's id: one document of each group of near-duplicates. Rows with a null key stay."""
-    first = near_duplicates(docs, key, text, size).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(first, docs[key] == first["_kept"], "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    """The rows of docs whose key is their component's id: one document of each group of near-duplicates.
+
+    Rows that repeat the kept key are one document and stay together. Rows with a null key can't be
+    named as the one that stays, so all of them do. Any columns are returned as they were.
+    """
+    first = near_duplicates(docs, key, text, size).where(col(key) == F.col("component_id")).select(F.col("component_id").alias("_kept")).distinct()
+    first = written(first, "simhash-kept")
+    return docs.join(first, docs[f"`{key}`"] == first["_kept"], "left_semi").unionByName(docs.where(col(key).isNull()))

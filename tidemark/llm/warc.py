@@ -9,23 +9,27 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import utf8
-from tidemark.session import shared_dir
+from tidemark.llm.common import col, utf8
+from tidemark.session import shared_dir, written
 
 MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
 DEDUP_BYTES = 1000
 #: Bytes of blocks in one archive, about; a single larger record still makes one archive.
 ARCHIVE_BYTES = 32_000_000
+#: Bytes read of an archive at a time.
+PART_BYTES = 1 << 20
 #: Records and bytes of them that an archive's dictionary is trained on, and its size.
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 2_000_000, 32_768
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -104,57 +108,127 @@ def parse(raw: bytes, at: str) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def frames(raw: bytes, at: str = "archive") -> Iterator[bytes]:
-    """Each record's bytes: the dictionary first, then one frame per record until the end."""
-    if len(raw) < 8 or struct.unpack_from("<I", raw)[0] != MAGIC:
+class _Bytes:
+    """What is still to be read of a stream, a part of it at a time."""
+
+    def __init__(self, stream: BinaryIO, part: int = PART_BYTES) -> None:
+        self.stream, self.part, self.held, self.at, self.done = stream, part, bytearray(), 0, 0
+
+    def has(self, n: int) -> bool:
+        """Whether n more bytes are there, after reading on if need be."""
+        while len(self.held) - self.at < n:
+            if not (more := self.stream.read(max(self.part, n - len(self.held) + self.at))):
+                return False
+            if self.at:  # only what follows is kept; what moves is less than was read
+                del self.held[: self.at]
+                self.at = 0
+            self.held += more
+        return True
+
+    def take(self, n: int) -> bytes:
+        out = bytes(memoryview(self.held)[self.at : self.at + n])
+        self.at, self.done = self.at + n, self.done + n
+        return out
+
+    def look(self, at: int, n: int) -> int:
+        """The little-endian number in n bytes, `at` bytes ahead."""
+        return int.from_bytes(self.held[self.at + at : self.at + at + n], "little")
+
+
+def frame_size(b: _Bytes) -> int | None:
+    """Bytes of the Zstandard frame that starts here, from its header and the headers of its blocks; None if it is cut short."""
+    if not b.has(5):
+        return None
+    flags = b.look(4, 1)
+    single, sizes = flags >> 5 & 1, (1 if flags >> 5 & 1 else 0, 2, 4, 8)
+    at = 5 + (1 - single) + (0, 1, 2, 4)[flags & 3] + sizes[flags >> 6]
+    while True:
+        if not b.has(at + 3):
+            return None
+        block = b.look(at, 3)
+        at += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)
+        if block & 1:
+            at += 4 * (flags >> 2 & 1)
+            return at if b.has(at) else None
+
+
+def frames(stream: bytes | BinaryIO, at: str = "archive") -> Iterator[bytes]:
+    """Each record's bytes: the dictionary first, then one frame per record until the end.
+
+    Work grows with the archive's size, and memory with its largest record.
+    """
+    b = _Bytes(io.BytesIO(stream) if isinstance(stream, bytes) else stream)
+    if not b.has(8) or b.look(0, 4) != MAGIC:
         raise Malformed(f"{at}: no leading dictionary frame")
-    size = struct.unpack_from("<I", raw, 4)[0]
-    if 8 + size > len(raw):
+    size = b.look(4, 4)
+    if not b.has(8 + size):
         raise Malformed(f"{at}: the dictionary is cut short")
-    content = raw[8 : 8 + size]
+    content = b.take(8 + size)[8:]
     if content[:4] == struct.pack("<I", ZSTD_MAGIC):  # the dictionary may itself be compressed
         content = zstandard.ZstdDecompressor().decompress(content)
     d = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content))
-    pos = 8 + size
-    while pos < len(raw):
-        if struct.unpack_from("<I", raw.ljust(pos + 4), pos)[0] != ZSTD_MAGIC:
+    while b.has(1):
+        pos = b.done
+        if not b.has(4) or b.look(0, 4) != ZSTD_MAGIC:
             raise Malformed(f"{at}, byte {pos}: no frame")
+        if (n := frame_size(b)) is None:
+            raise Malformed(f"{at}, byte {pos}: the frame is cut short")
         try:
             z = d.decompressobj()
-            out = z.decompress(memoryview(raw)[pos:])
+            out = z.decompress(b.take(n))
         except zstandard.ZstdError as e:
             raise Malformed(f"{at}, byte {pos}: {e}") from e
         if not z.eof:
             raise Malformed(f"{at}, byte {pos}: the frame is cut short")
-        pos = len(raw) - len(z.unused_data)
         yield out
 
 
-def payload_of(fields: dict[str, str], block: bytes, at: str) -> tuple[int, str, bytes]:
-    """(bytes, hex SHA-1, payload): a revisit's are those that its headers state of the response."""
+def payload_of(fields: dict[str, str], block: bytes, at: str) -> tuple[int | None, str | None, bytes]:
+    """(bytes, hex SHA-1, payload): a revisit's are those that its headers state of the response, null where they don't."""
+    response = fields["WARC-Type"] == "response"
     head, sep, body = block.partition(b"\r\n\r\n")
-    length = next((int(x.split(b":")[1]) for x in head.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), None)
-    if not sep or length is None:
-        raise Malformed(f"{at}: no HTTP header with a length")
-    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    if fields["WARC-Type"] == "response" and (len(body) != length or hashlib.sha1(body).hexdigest() != digest):
+    names = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
+    length = int(names[b"content-length"]) if names.get(b"content-length", b"").isdigit() else len(body) if response else None
+    if response and not sep:
+        raise Malformed(f"{at}: no HTTP header")
+    stated = fields.get("WARC-Payload-Digest", "")
+    if stated and not stated.startswith("sha1:"):
+        raise Malformed(f"{at}: a payload digest other than SHA-1")
+    digest = base64.b32decode(stated.removeprefix("sha1:")).hex() if stated else hashlib.sha1(body).hexdigest() if response else None
+    # a payload that was sent in chunks or compressed is kept, and digested by its writer, in one of several forms
+    plain = b"transfer-encoding" not in names and b"content-encoding" not in names
+    if response and plain and (len(body) != length or hashlib.sha1(body).hexdigest() != digest):
         raise Malformed(f"{at}: the payload's length or digest differs")
     return length, digest, body
 
 
+def row_of(raw: bytes, at: str) -> tuple:
+    """FIELDS of one record. Only a response or revisit of HTTP has a payload; any other record has nulls there."""
+    fields, block = parse(raw, at)
+    kind = fields["WARC-Type"]
+    page, url, refers_to = fields.get("X-Page-ID"), fields.get("WARC-Target-URI", ""), fields.get("X-Refers-To-Page-ID")
+    if kind not in ("response", "revisit") or not fields.get("Content-Type", "").startswith("application/http"):
+        return page, url, None, None, kind, refers_to, None
+    n, digest, body = payload_of(fields, block, at)
+    return page, url, n, digest, kind, refers_to, body if kind == "response" else None
+
+
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", dedup_bytes: int = DEDUP_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes every row of pages and returns the manifest: path, records, bytes.
 
     Null html is an empty payload, a null url an empty one. A null key is written as the empty
     string and never becomes the response of a group that has a key. Rows with the response's own
-    key stay responses. A task that runs again writes the same file names.
+    key stay responses. No rows make no archive. A task that runs again writes the same file names.
     """
-    rows = pages.select(F.col(key).alias("k"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("u"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("p"))
+    rows = pages.select(col(key).alias("k"), F.coalesce(col(url).cast("string"), F.lit("")).alias("u"), F.coalesce(col(html), F.lit("")).cast("binary").alias("p"))
     rows = rows.withColumns({"d": F.sha1("p"), "n": F.octet_length("p")})
-    # only keys of payloads that repeat go back to the pages; both the aggregate and the join hold at a hot payload
-    shared = rows.where(F.col("n") >= dedup_bytes).groupBy("d").agg(F.max("k").alias("r"), F.count("*").alias("c")).where("c > 1").select("d", "r")
-    marked = rows.join(shared, "d", "left").withColumn("ref", F.when((F.col("n") >= dedup_bytes) & ~F.col("k").eqNullSafe(F.col("r")), F.col("r").cast("string")))
-    marked = marked.select(F.coalesce(F.col("k").cast("string"), F.lit("")).alias("k"), "u", "p", "d", "ref")
+    able = F.col("n") >= dedup_bytes
+    # written, so that payloads meet it by a broadcast or on two plain exchanges, which AQE splits at a hot payload
+    shared = written(rows.where(able).groupBy("d").agg(F.max("k").alias("r"), F.count("*").alias("c")).where("c > 1").select("d", "r"), "warc-shared")
+    marked = rows.where(able).join(shared, "d", "left").withColumn("ref", F.when(~F.col("k").eqNullSafe(F.col("r")), F.col("r").cast("string")))
+    columns = [F.coalesce(F.col("k").cast("string"), F.lit("")).alias("k"), "u", "p", "d", "ref"]
+    # null, empty and short payloads never are revisits and go around the join
+    marked = marked.select(*columns).unionByName(rows.where(~able).withColumn("ref", F.lit(None).cast("string")).select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -197,31 +271,43 @@ def _put(path: str, raw: bytes) -> None:
     store.move(beside, place)
 
 
+def _open(path: str) -> BinaryIO:
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if colon and rest.startswith("/") and not rest.startswith("//"):  # Spark writes file:/place
+        path = f"{scheme}://{rest}"
+    store, place = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(place, compression=None)
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record of the folder's archives, checked as it is read; an archive that breaks the format fails the read."""
+    """One row per record of the folder's *.warc.zst files, checked as it is read; an archive that breaks the format fails the read.
+
+    Files are streamed, so a large archive needs no more memory than its largest record. Records
+    that are no HTTP response or revisit have null payload fields, and those of other writers a
+    null page_id. An empty folder has no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in FIELDS.split(", ")]
         kinds = pa.schema(list(zip(names, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)))
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
         for b in batches:
-            for path, content in zip(b.column(0), b.column(1), strict=True):
-                out: list[list] = [[] for _ in names]
-                size = 0
-                for i, raw in enumerate(frames(content.as_py(), path.as_py())):
-                    at = f"{path}, record {i}"
-                    fields, block = parse(raw, at)
-                    n, digest, body = payload_of(fields, block, at)
-                    kind = fields["WARC-Type"]
-                    for c, v in zip(out, (fields["X-Page-ID"], fields.get("WARC-Target-URI", ""), n, digest, kind, fields.get("X-Refers-To-Page-ID"), body if kind == "response" else None), strict=True):
-                        c.append(v)
-                    size += len(body)
-                    if size > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds.types, strict=True)], schema=kinds)
-                        out, size = [[] for _ in names], 0
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds.types, strict=True)], schema=kinds)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder).select("path", "content")
+            for path in b.column(0).to_pylist():
+                rows, size = [], 0
+                with _open(path) as stream:
+                    for i, raw in enumerate(frames(stream, path)):
+                        rows.append(row_of(raw, f"{path}, record {i}"))
+                        size += len(raw)
+                        if size > 8_000_000 or len(rows) >= 10_000:
+                            yield batch(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield batch(rows)
+
+    # only the paths come from Spark's reader, which also deals the files to tasks by their sizes
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path")
     return files.mapInArrow(run, FIELDS)
 
 
