@@ -189,12 +189,13 @@ def plain_drop(rows, alike=line_dedup.ALIKE, depth=line_dedup.DEPTH, min_docs=2)
     return sorted(out, key=str)
 
 
-def test_lines_against_brute_force(spark):
+@pytest.mark.parametrize("hot_lines", [line_dedup.HOT_LINES, 12])
+def test_lines_against_brute_force(spark, hot_lines):
     rng = random.Random(6)
     logs = lambda: f"{rng.choice(['GET', 'PUT'])} item {rng.randint(1, 99)} from host{rng.randint(1, 3)} took {rng.randint(1, 50)} ms {rng.choice(['ok', 'late', 'lost'])} {rng.choice('abcdefg')}"
     line = lambda: rng.choice([logs(), logs(), "Licensed under terms.", "", "  ", f"one of its kind {rng.random()} {rng.choice('pqrstuv')} " + " ".join(rng.choices("klmno", k=8))])
     rows = [(i, "\n".join(line() for _ in range(rng.randint(1, 6))), "", 0) for i in range(10, 70)] + ODD
-    got = line_dedup.drop_recurring_lines(docs(spark, rows))
+    got = line_dedup.drop_recurring_lines(docs(spark, rows), hot_lines=hot_lines)
     assert got.columns == ["doc_id", "text", "k", "fp", "n_lines", "n_dropped"]
     found = got.collect()
     assert sorted(((str(r.doc_id), r.text) for r in found), key=str) == plain_drop(rows)
@@ -218,13 +219,65 @@ def test_columns_that_clash(spark):
     assert fingerprints.edited_fingerprints(df).count() == 2
 
 
+def every_template(rows, alike=line_dedup.ALIKE):
+    """Each line against every template."""
+    groups, out = [], []
+    for name, tokens in rows:
+        score = [int(((g[1] == tokens) & ~g[2]).sum()) for g in groups]
+        best = max(range(len(groups)), key=lambda j: (score[j], -j), default=None)
+        if best is not None and score[best] >= alike * len(tokens):
+            groups[best][2] |= groups[best][1] != tokens
+        else:
+            best = len(groups)
+            groups.append([name, tokens, np.zeros(len(tokens), bool)])
+        out.append(groups[best][0])
+    return out
+
+
+def placed(rows, alike=line_dedup.ALIKE, same=0):
+    leaf = line_dedup.Leaf(len(rows[0][1]), alike, same)
+    return [leaf.place(n, t) for n, t in rows]
+
+
 def test_a_template_takes_changed_fields():
     a = np.arange(10, dtype=np.uint32)
     b, c = a.copy(), a.copy()
     b[9], c[8], c[9] = 99, 88, 77
-    assert line_dedup.templates([(1, a), (2, b), (3, c)]) == [1, 1, 1]
+    assert placed([(1, a), (2, b), (3, c)]) == [1, 1, 1]
     c[5] = 55
-    assert line_dedup.templates([(1, a), (2, b), (3, c)]) == [1, 1, 3]
+    assert placed([(1, a), (2, b), (3, c)]) == [1, 1, 3]
+
+
+@pytest.mark.parametrize("width", [1, 4, 5, 6, 9, 10, 11, 23, 40])
+def test_indexed_templates_are_those_of_every_comparison(width):
+    rng = np.random.default_rng(width)
+    for alike in (0.5, 0.8, 0.9, 1.0):
+        same = min(4, width)
+        seeds = rng.integers(0, 50, (6, width), dtype=np.uint32)
+        rows = []
+        for n in range(300):
+            t = seeds[rng.integers(len(seeds))].copy()
+            flip = rng.random(width) < rng.choice([0.02, 0.1, 0.3])
+            t[flip] = rng.integers(0, 50, int(flip.sum()))
+            t[:same] = 1
+            rows.append((n, t))
+        assert placed(rows, alike, same) == every_template(rows, alike)
+
+
+def test_a_large_leaf_takes_no_quadratic_time():
+    """Lines that share their first words only: four times as many take about four times the time."""
+    rng = np.random.default_rng(2)
+
+    def took(n):
+        rows = rng.integers(0, 1 << 31, (n, 20), dtype=np.uint32)
+        rows[:, :4] = 7
+        began = time.perf_counter()
+        assert len(set(placed([(i, r) for i, r in enumerate(rows)], same=4))) == n
+        return time.perf_counter() - began
+
+    took(1000)
+    small, large = took(5_000), took(20_000)
+    assert large < 10 * small
 
 
 # packing

@@ -8,6 +8,7 @@ by key, and its lines are dropped from the others.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,14 +16,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import per_batch, utf8
+from tidemark.llm.common import col, in_arrow, per_batch, utf8
+from tidemark.operators.components import connected_components
 from tidemark.session import written
 
 #: Leading tokens on a path, share of places that must agree, documents that make a template recur.
 DEPTH, ALIKE, MIN_DOCS = 4, 0.8, 2
 #: Distinct lines that a task remembers before it forgets them all and starts anew.
 REMEMBERED = 300_000
+#: Sightings of lines of one leaf beyond which it is dealt out to several tasks.
+HOT_LINES = 200_000
 _DIGITS = bytes(range(0x30, 0x3A))
 FIELD = b"\0"
 
@@ -47,27 +52,51 @@ def line_keys(line: bytes, depth: int = DEPTH) -> tuple[int, int, list[bytes]] |
     return _signed(path), _signed(xxhash.xxh64_intdigest(b" ".join(words), 2)), words
 
 
-def templates(rows: list[tuple[int, np.ndarray]], alike: float = ALIKE) -> list[int]:
-    """The template of each (line, token hashes) of one leaf: its first line's hash. Rows come sorted by line, and lie in the template they agree most with, the earlier one in a tie."""
-    names: list[int] = []
-    if not rows:
-        return names
-    width = len(rows[0][1])
-    table, fields, used, out = np.zeros((16, width), np.uint32), np.zeros((16, width), bool), 0, []
-    for name, tokens in rows:
-        agree = ((table[:used] == tokens) & ~fields[:used]).sum(1)
-        best = int(agree.argmax()) if used else -1
-        if best >= 0 and agree[best] >= alike * width:
-            fields[best] |= table[best] != tokens
-        else:
-            if used == len(table):
-                table, fields = np.concatenate([table, np.zeros_like(table)]), np.concatenate([fields, np.zeros_like(fields)])
-            best = used
-            table[best] = tokens
-            names.append(name)
-            used += 1
-        out.append(names[best])
-    return out
+class Leaf:
+    """The templates of one leaf, and an index of them by runs of places.
+
+    A line lies in a template if they agree in `alike` of their places or more; a template's fields
+    agree with nothing. So at most `spare` places differ, and when the places are cut into spare + 1
+    runs, a line and its template agree on all of one run. Only templates that a run of the line
+    leads to are compared with it: the outcome is that of comparing it with every one.
+    """
+
+    def __init__(self, width: int, alike: float, same: int) -> None:
+        """The first `same` places are alike in all lines of the leaf and tell nothing apart."""
+        self.need = alike * width
+        self.runs = _runs(width, alike, same)
+        self.names: list[int] = []
+        self.table, self.fields = np.zeros((16, width), np.uint32), np.zeros((16, width), bool)
+        self.index: list[dict[bytes, list[int]]] = [{} for _ in self.runs]
+
+    def place(self, name: int, tokens: np.ndarray) -> int:
+        """The name of the template that the next line lies in: the one it agrees most with, the earlier in a tie, else one of its own."""
+        keys = [tokens[a:b].tobytes() for a, b in self.runs]
+        near = {t for known, k in zip(self.index, keys, strict=True) for t in known.get(k, ())}
+        if near:
+            at = np.fromiter(sorted(near), np.int64, len(near))
+            agree = ((self.table[at] == tokens) & ~self.fields[at]).sum(1)
+            best = int(agree.argmax())
+            if agree[best] >= self.need:
+                t = int(at[best])
+                self.fields[t] |= self.table[t] != tokens
+                return self.names[t]
+        t = len(self.names)
+        if t == len(self.table):
+            self.table, self.fields = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.fields, np.zeros_like(self.fields)])
+        self.table[t] = tokens
+        self.names.append(name)
+        for known, k in zip(self.index, keys, strict=True):
+            known.setdefault(k, []).append(t)
+        return name
+
+
+def _runs(width: int, alike: float, same: int) -> list[tuple[int, int]]:
+    """The places from `same` on, in one run more than places may differ; an empty run where there are too few, which all lines have in common."""
+    spare = width - math.ceil(alike * width - 1e-9)
+    free = max(0, width - same)
+    cuts = [same + round(free * i / (spare + 1)) for i in range(spare + 2)]
+    return list(zip(cuts, cuts[1:], strict=False)) if free else [(0, 0)]
 
 
 def _sightings(depth: int):
@@ -109,43 +138,83 @@ def _tokens(depth: int):
     return make
 
 
-def _leaves(alike: float):
-    """Whole leaves out of rows that are sorted by path and line."""
+def _leaves(depth: int, alike: float):
+    """(path, line, template) of the lines that lie in another one's template, from rows sorted by path, part and line.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, rows = None, []
-
-        def done() -> Iterator[tuple[int, int, int]]:
-            if len(rows) > 1:
-                for (line, _), t in zip(rows, templates(rows, alike), strict=True):
-                    if line != t:
-                        yield path, line, t
+    Rows stream through; what a task holds are the templates of one leaf, or of a part of it.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leaf, last = None, None, None
         for b in batches:
             out: list[tuple[int, int, int]] = []
-            for p, line, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if p != path:
-                    out += done()
-                    path, rows = p, []
-                if not rows or rows[-1][0] != line:
-                    rows.append((line, np.frombuffer(tokens.as_py(), np.uint32)))
+            for path, part, line, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if (path, part) != at:
+                    at, leaf, last = (path, part), None, None
+                if line == last:
+                    continue
+                last, words = line, np.frombuffer(tokens.as_py(), np.uint32)
+                leaf = leaf or Leaf(len(words), alike, depth)
+                if (t := leaf.place(line, words)) != line:
+                    out.append((path, line, t))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["path", "line", "template"])
-        if out := list(done()):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["path", "line", "template"])
 
     return run
 
 
-def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, alike: float = ALIKE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(key, lines): per document the keys of its lines that go, as (path, line) pairs. Rows that repeat a key are one document, rows without a key none."""
-    kind = dict(docs.dtypes)[key]
-    known = docs.where(F.col(key).isNotNull()).select(key, text)
-    seen = written(per_batch(known, _sightings(depth), f"path long, line long, k {kind}").distinct(), "lines-seen")
-    # leaves that lie in one document alone need no tokens
-    shared = seen.groupBy("path").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.min("line").alias("c"), F.max("line").alias("d")).where("a <> b and c <> d").select("path")
-    tokens = per_batch(docs.select(text), _tokens(depth), "path long, line long, tokens binary").join(shared, "path", "left_semi")
-    merged = tokens.repartition("path").sortWithinPartitions("path", "line").mapInArrow(_leaves(alike), "path long, line long, template long")
+def _runs_of_lines(depth: int, alike: float):
+    """(path, line, run): a hash of each of a line's runs of places, with the number of the run."""
+
+    def make():
+        def f(b: pa.RecordBatch):
+            cols: list[list] = [[], [], []]
+            for path, line, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                words = np.frombuffer(tokens.as_py(), np.uint32)
+                for i, (x, y) in enumerate(_runs(len(words), alike, depth)):
+                    cols[0].append(path)
+                    cols[1].append(line)
+                    cols[2].append(_signed(xxhash.xxh64_intdigest(words[x:y].tobytes(), i)))
+            return cols
+
+        return f
+
+    return make
+
+
+def _parts(tokens: DataFrame, hot: DataFrame, depth: int, alike: float) -> DataFrame:
+    """(path, line, part) of the lines of hot leaves. Lines of different parts share no run, so they never meet in a template."""
+    mine = written(tokens.join(hot, "path", "left_semi"), "line-hot")
+    runs = written(per_batch(mine, _runs_of_lines(depth, alike), "path long, line long, run long").distinct(), "line-runs")
+    node = F.xxhash64("path", "line")
+    first = written(runs.groupBy("path", "run").agg(F.min(node).alias("b")), "line-first")
+    links = runs.join(first, ["path", "run"]).select(node.alias("a"), "b")
+    found = written(connected_components(links, name="line-parts"), "line-parts-found")
+    own = runs.select("path", "line").distinct().withColumn("node", node)
+    return written(own.join(found, "node", "left").select("path", "line", F.coalesce("component", "node").alias("part")), "line-parted")
+
+
+def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, alike: float = ALIKE, min_docs: int = MIN_DOCS, hot_lines: int = HOT_LINES) -> DataFrame:
+    """(key, lines): per document the keys of its lines that go, as (path, line) pairs. Rows that repeat a key are one document, rows without a key none.
+
+    A leaf of more than hot_lines sightings is dealt out by parts whose lines can't meet in a
+    template. The templates are the same; only the tasks they are found in differ.
+    """
+    known = docs.where(col(key).isNotNull()).select(col(key).alias("k"), col(text).alias("t"))
+    kind = StructType([StructField("path", LongType()), StructField("line", LongType()), StructField("k", docs.schema[key].dataType)])
+    seen = written(per_batch(known, _sightings(depth), kind).distinct(), "lines-seen")
+    # leaves that lie in one document alone need no tokens; written, so that the join stands on a plain exchange or a broadcast
+    shared = seen.groupBy("path").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.min("line").alias("c"), F.max("line").alias("d"), F.count("*").alias("n"))
+    shared = written(shared.where("a <> b and c <> d").select("path", "n"), "lines-shared")
+    tokens = per_batch(docs.select(col(text)), _tokens(depth), "path long, line long, tokens binary").join(shared.select("path"), "path", "left_semi")
+    hot = shared.where(F.col("n") > hot_lines).select("path")
+    if hot.take(1):
+        tokens = written(tokens.dropDuplicates(["path", "line"]), "line-tokens")
+        parts = _parts(tokens, written(hot, "line-hot-paths"), depth, alike)
+        tokens = tokens.join(parts, ["path", "line"], "left").select("path", F.coalesce("part", F.lit(0)).alias("part"), "line", "tokens")
+    else:
+        tokens = tokens.select("path", F.lit(0).cast("long").alias("part"), "line", "tokens")
+    merged = tokens.repartition("path", "part").sortWithinPartitions("path", "part", "line").mapInArrow(_leaves(depth, alike), "path long, line long, template long")
     merged = written(merged, "line-templates")
     named = seen.join(merged, ["path", "line"], "left").withColumn("template", F.coalesce("template", "line"))
     recurring = named.groupBy("path", "template", "k").agg(F.lit(1).alias("one")).groupBy("path", "template").agg(F.count("*").alias("n"), F.min("k").alias("first")).where(F.col("n") >= min_docs)
@@ -155,7 +224,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     return going.groupBy(F.col("k").alias(key)).agg(F.collect_list(F.struct("path", "line")).alias("lines"))
 
 
-def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, alike: float = ALIKE, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, alike: float = ALIKE, min_docs: int = MIN_DOCS, hot_lines: int = HOT_LINES) -> DataFrame:
     """docs with text shortened, all other columns as they were, and n_lines, n_dropped at the end.
 
     Lines without tokens stay and count as none. Null texts stay null. Rows without a key stay
@@ -163,12 +232,12 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     n_lines or n_dropped are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    going = recurring_lines(docs, key, text, depth, alike, min_docs)
+    going = recurring_lines(docs, key, text, depth, alike, min_docs, hot_lines)
     free = "_lines"
     while free in docs.columns:
         free = f"_{free}"
-    going = going.select(F.col(key).alias("_k"), F.col("lines").alias(free))
-    both = docs.join(going, docs[key] == going["_k"], "left").select(*[docs[c] for c in docs.columns], going[free])
+    going = going.select(col(key).alias("_k"), F.col("lines").alias(free))
+    both = docs.join(going, docs[f"`{key}`"] == going["_k"], "left").select(*[docs[f"`{c}`"] for c in docs.columns], going[free])
     schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
     at = docs.columns.index(text)
 
@@ -191,4 +260,4 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
             cols = [*b.columns[:at], pa.array(texts, pa.string()), *b.columns[at + 1 : -1], pa.array(counts, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return in_arrow(both, run, schema)
