@@ -8,6 +8,7 @@ import re
 import struct
 import time
 import tracemalloc
+import zlib
 from datetime import date, timedelta
 
 import numpy as np
@@ -150,19 +151,27 @@ def test_near_copies_at_0_8_are_linked(spark):
 # line templates
 
 
-def plain_drop(rows, alike=line_dedup.ALIKE, depth=line_dedup.DEPTH, min_docs=2):
+def plain_units(line):
+    """(first word, end, path, words) of a line's units, as the rules say; short ones of long lines without a path."""
+    words = ["\0" if re.search("[0-9]", w) else w for w in re.findall(r"[^ \t\n\r\x0b\f]+", line)]
+    at = [0, *(i for i in range(1, len(words)) if zlib.crc32(words[i].encode(), zlib.crc32(words[i - 1].encode())) % line_dedup.CUT == 0), len(words)] if len(words) > line_dedup.WHOLE else [0, len(words)]
+    return [(a, b, (b - a, *words[a : min(b, a + line_dedup.DEPTH)]) if b - a >= line_dedup.SHORT or len(at) == 2 else None, words[a:b]) for a, b in zip(at, at[1:], strict=False) if b > a]
+
+
+def plain_drop(rows, alike=line_dedup.ALIKE, min_docs=2):
     """The same rule over whole lines in memory."""
+    h = lambda words: line_dedup.unit_keys([w.encode() for w in words])[1]
     leaves = {}
-    for i, t, *_ in rows:
+    for _, t, *_ in rows:
         for line in (t or "").split("\n"):
-            x = line_dedup.line_keys(line.encode(), depth)
-            if x:
-                leaves.setdefault(x[0], {})[x[1]] = x[2]
+            for _, _, path, words in plain_units(line):
+                if path:
+                    leaves.setdefault(path, {})[h(words)] = words
     name = {}
     for path, lines in leaves.items():
         groups = []
-        for h in sorted(lines):
-            words = lines[h]
+        for x in sorted(lines):
+            words = lines[x]
             score = [sum(a == b and not f for a, b, f in zip(g[1], words, g[2], strict=True)) for g in groups]
             best = max(range(len(groups)), key=lambda j: (score[j], -j), default=None)
             if best is not None and score[best] >= alike * len(words):
@@ -170,21 +179,36 @@ def plain_drop(rows, alike=line_dedup.ALIKE, depth=line_dedup.DEPTH, min_docs=2)
                 g[2] = [f or a != b for a, b, f in zip(g[1], words, g[2], strict=True)]
             else:
                 best = len(groups)
-                groups.append([h, words, [False] * len(words)])
-            name[path, h] = groups[best][0]
+                groups.append([x, words, [False] * len(words)])
+            name[path, x] = path, groups[best][0]
     where = {}
-    keyed = [(i, line, line_dedup.line_keys(line.encode(), depth)) for i, t, *_ in rows for line in (t or "").split("\n")]
-    for i, _, x in keyed:
-        if x and i is not None:
-            where.setdefault((x[0], name[x[:2]]), set()).add(i)
+    for i, t, *_ in rows:
+        for line in (t or "").split("\n"):
+            for _, _, path, words in plain_units(line):
+                if path and i is not None:
+                    where.setdefault(name[path, h(words)], set()).add(i)
     out = []
     for i, t, *_ in rows:
         kept = []
         for line in (t or "").split("\n"):
-            x = line_dedup.line_keys(line.encode(), depth)
-            seen = where.get((x[0], name[x[:2]]), set()) if x else set()
-            if i is None or not x or len(seen) < min_docs or i == min(seen):
+            each = plain_units(line)
+            goes = []  # per word: True, False, or None in a short unit
+            for a, b, path, words in each:
+                seen = where.get(name[path, h(words)], set()) if path else set()
+                goes += [None if not path else i is not None and len(seen) >= min_docs and i != min(seen)] * (b - a)
+            if not any(goes):
                 kept.append(line)
+            elif all(g is not False for g in goes):
+                continue
+            else:
+                code = "".join({True: "x", False: "-", None: "."}[g] for g in goes)
+                words = list(re.finditer(r"[^ \t\n\r\x0b\f]+", line))
+                text, done = "", 0
+                for m in re.finditer(r"x(?:[x.]*x)?", code):
+                    if m.end() - m.start() >= line_dedup.RUN:
+                        text += line[done : words[m.start()].start()]
+                        done = words[m.end()].start() if m.end() < len(words) else words[-1].end()
+                kept.append(text + line[done:])
         out.append((str(i), t if t is None else "\n".join(kept)))
     return sorted(out, key=str)
 
@@ -194,12 +218,20 @@ def test_lines_against_brute_force(spark, hot_lines):
     rng = random.Random(6)
     logs = lambda: f"{rng.choice(['GET', 'PUT'])} item {rng.randint(1, 99)} from host{rng.randint(1, 3)} took {rng.randint(1, 50)} ms {rng.choice(['ok', 'late', 'lost'])} {rng.choice('abcdefg')}"
     line = lambda: rng.choice([logs(), logs(), "Licensed under terms.", "", "  ", f"one of its kind {rng.random()} {rng.choice('pqrstuv')} " + " ".join(rng.choices("klmno", k=8))])
-    rows = [(i, "\n".join(line() for _ in range(rng.randint(1, 6))), "", 0) for i in range(10, 70)] + ODD
+    words = lambda n: [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{rng.choice('klmnprst')}{rng.choice('aeiou')}{rng.choice('xyz')}" for _ in range(n)]
+    passages = [words(60) for _ in range(4)]
+
+    def around():
+        p = list(rng.choice(passages))
+        p[rng.randrange(60)] = "other"
+        return " ".join(words(rng.randint(0, 30)) + p + words(rng.randint(0, 30)))
+
+    rows = [(i, "\n".join(around() if rng.random() < 0.2 else line() for _ in range(rng.randint(1, 6))), "", 0) for i in range(10, 70)] + ODD
     got = line_dedup.drop_recurring_lines(docs(spark, rows), hot_lines=hot_lines)
-    assert got.columns == ["doc_id", "text", "k", "fp", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "text", "k", "fp", "n_lines", "n_dropped", "n_cut"]
     found = got.collect()
     assert sorted(((str(r.doc_id), r.text) for r in found), key=str) == plain_drop(rows)
-    assert sum(r.n_dropped for r in found) > 50 and all(r.n_dropped <= r.n_lines for r in found)
+    assert sum(r.n_dropped for r in found) > 50 and sum(r.n_cut for r in found) > 10 and all(r.n_dropped + r.n_cut <= r.n_lines for r in found)
 
 
 def test_first_document_keeps_a_shared_passage(spark):
@@ -210,6 +242,34 @@ def test_first_document_keeps_a_shared_passage(spark):
     assert line_dedup.drop_recurring_lines(docs(spark, [])).count() == 0
 
 
+def test_a_passage_inside_other_lines_goes(spark):
+    """Passages of 51 to 90 words at any place in a line: all but the first document's lose most of theirs, and nothing else."""
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n)]
+    rows, holders = [], {}
+    for p in range(30):
+        passage = words(rng.randint(51, 90))
+        for i in rng.sample(range(1000 * p, 1000 * p + 1000), 3):
+            before, after = words(rng.randint(0, 80)), words(rng.randint(0, 80))
+            rows.append((i, " ".join(before + passage + after), "", 0))
+            holders.setdefault(p, []).append((i, before, passage, after))
+    clean = [(100_000 + i, " ".join(words(200)), "", 0) for i in range(50)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(docs(spark, rows + clean)).collect()}
+    assert all(got[i] == t for i, t, *_ in clean)
+    left = total = 0
+    for own in holders.values():
+        own.sort(key=lambda x: x[0])
+        for n, (i, before, passage, after) in enumerate(own):
+            have = got[i].split()
+            assert have[: len(before)] == before and (not after or have[-len(after) :] == after)
+            if not n:
+                assert have == before + passage + after
+            else:
+                total += 1
+                left += " ".join(passage) in got[i]
+    assert total == 60 and left <= 4, left
+
+
 def test_columns_that_clash(spark):
     df = docs(spark, [(1, "a b c d", "", 0), (2, "a b c d\nmore here", "", 0)])
     df = df.withColumns({n: F.lit("mine") for n in ("lines", "_k", "_lines", "path", "template", "component_id", "_kept", "n_words", "t")}).withColumn("n_lines", F.lit("old"))

@@ -1,15 +1,19 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line's tokens with digits are variable fields. The path to a leaf is the number of tokens and
-the leading ones; in a leaf, lines that agree in enough places share a template, whose other
-places become variable. A template that occurs in several documents is kept in the first of them,
-by key, and its lines are dropped from the others.
+A line is one unit; a long line is cut into units where two neighbouring words say so by their
+hash, so that a passage gives the same units in whatever line and at whatever place it stands. A
+unit's tokens with digits are variable fields. The path to a leaf is the number of tokens and the
+leading ones; in a leaf, units that agree in enough places share a template, whose other places
+become variable. A template that occurs in several documents is kept in the first of them, by key.
+In the others a line goes whose units all recur, and so does a run of such units inside a line.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,11 @@ REMEMBERED = 300_000
 HOT_LINES = 200_000
 _DIGITS = bytes(range(0x30, 0x3A))
 FIELD = b"\0"
+#: Words of the longest line that is one unit; one pair of words in CUT begins a unit in longer ones.
+WHOLE, CUT = 24, 8
+#: Words of the shortest unit in a long line that is looked up, and of the shortest run that goes from one.
+SHORT, RUN = 4, 16
+_WORD = re.compile(rb"[^ \t\n\r\x0b\f]+")
 
 
 def masked(line: bytes) -> list[bytes]:
@@ -43,13 +52,68 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def line_keys(line: bytes, depth: int = DEPTH) -> tuple[int, int, list[bytes]] | None:
-    """(path, line, tokens) hashes of a masked line; None for a line without tokens."""
+def unit_keys(words: list[bytes], depth: int = DEPTH) -> tuple[int, int]:
+    """(path, unit) hashes of masked words."""
+    path = xxhash.xxh64_intdigest(b" ".join([str(len(words)).encode(), *words[:depth]]), 1)
+    return _signed(path), _signed(xxhash.xxh64_intdigest(b" ".join(words), 2))
+
+
+def cuts(words: list[bytes]) -> list[int]:
+    """Where a line's units begin, and its end: a short line is one unit, a long one is cut before each word that its pair with the word before marks."""
+    n = len(words)
+    if n <= WHOLE:
+        return [0, n] if n else [0]
+    return [0, *(i for i, (a, b) in enumerate(zip(words, words[1:], strict=False), 1) if crc32(b, crc32(a)) % CUT == 0), n]
+
+
+def units(line: bytes) -> Iterator[list[bytes]]:
+    """The masked words of a line's units. Those of under SHORT words in a long line stand for nothing."""
     words = masked(line)
-    if not words:
+    at = cuts(words)
+    for a, b in zip(at, at[1:], strict=False):
+        if b - a >= SHORT or len(at) == 2:
+            yield words[a:b]
+
+
+def without(line: str, going: set[tuple[int, int]], depth: int = DEPTH, run: int = RUN) -> str | None:
+    """The line without its runs of at least `run` words that go; None if it goes whole.
+
+    A run is made of units that go and of short ones between them.
+    """
+    raw = line.encode("utf-8", "surrogatepass")
+    words = masked(raw)
+    at = cuts(words)
+    if len(at) < 2:
+        return line
+    spans: list[list[int]] = []  # runs of words that go, first and end
+    bridge = False
+    for a, b in zip(at, at[1:], strict=False):
+        if len(at) > 2 and b - a < SHORT:
+            continue
+        if unit_keys(words[a:b], depth) in going:
+            if bridge:
+                spans[-1][1] = b
+            else:
+                spans.append([a, b])
+            bridge = True
+        else:
+            bridge = False
+    if not spans:
+        return line
+    # short units at the ends of a line whose other units all go, go with them
+    first, last = min((a for a, b in zip(at, at[1:], strict=False) if b - a >= SHORT or len(at) == 2), default=0), max((b for a, b in zip(at, at[1:], strict=False) if b - a >= SHORT or len(at) == 2), default=0)
+    if len(spans) == 1 and spans[0] == [first, last]:
         return None
-    path = xxhash.xxh64_intdigest(b" ".join([str(len(words)).encode(), *words[:depth]]), 1)
-    return _signed(path), _signed(xxhash.xxh64_intdigest(b" ".join(words), 2)), words
+    spans = [x for x in spans if x[1] - x[0] >= run]
+    if not spans:
+        return line
+    places = [m.span() for m in _WORD.finditer(raw)]
+    out, done = [], 0
+    for a, b in spans:
+        out.append(raw[done : places[a][0]])
+        done = places[b][0] if b < len(places) else places[-1][1]
+    out.append(raw[done:])
+    return b"".join(out).decode("utf-8", "surrogatepass")
 
 
 class Leaf:
@@ -104,9 +168,9 @@ def _sightings(depth: int):
         def f(b: pa.RecordBatch):
             cols: list[list] = [[], [], []]
             for k, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                for path, line in {x[:2] for x in (line_keys(y, depth) for y in text.split(b"\n")) if x}:
+                for path, unit in {unit_keys(u, depth) for line in text.split(b"\n") for u in units(line)}:
                     cols[0].append(path)
-                    cols[1].append(line)
+                    cols[1].append(unit)
                     cols[2].append(k)
             return cols if cols[0] else None
 
@@ -123,14 +187,15 @@ def _tokens(depth: int):
             cols: list[list] = [[], [], []]
             for text in utf8(b.column(0)):
                 for line in text.split(b"\n"):
-                    x = line_keys(line, depth)
-                    if x and x[:2] not in seen:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen.add(x[:2])
-                        cols[0].append(x[0])
-                        cols[1].append(x[1])
-                        cols[2].append(np.array([xxhash.xxh32_intdigest(w) for w in x[2]], np.uint32).tobytes())
+                    for u in units(line):
+                        x = unit_keys(u, depth)
+                        if x not in seen:
+                            if len(seen) >= REMEMBERED:
+                                seen.clear()
+                            seen.add(x)
+                            cols[0].append(x[0])
+                            cols[1].append(x[1])
+                            cols[2].append(np.array([xxhash.xxh32_intdigest(w) for w in u], np.uint32).tobytes())
             return cols if cols[0] else None
 
         return f
@@ -225,39 +290,34 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
 
 
 def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, alike: float = ALIKE, min_docs: int = MIN_DOCS, hot_lines: int = HOT_LINES) -> DataFrame:
-    """docs with text shortened, all other columns as they were, and n_lines, n_dropped at the end.
+    """docs with text shortened, all other columns as they were, and n_lines, n_dropped, n_cut at the end: lines with tokens, those that went whole, those that lost a part.
 
-    Lines without tokens stay and count as none. Null texts stay null. Rows without a key stay
-    whole and make nothing recur. An empty table gives no rows. Columns of docs that are named
-    n_lines or n_dropped are replaced.
+    Lines without tokens stay and count as none. Null texts stay null, empty ones empty. Rows
+    without a key stay whole and make nothing recur; rows that repeat a key are one document. An
+    empty table gives no rows. Columns of docs that are named n_lines, n_dropped or n_cut are replaced.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = docs.drop("n_lines", "n_dropped", "n_cut")
     going = recurring_lines(docs, key, text, depth, alike, min_docs, hot_lines)
     free = "_lines"
     while free in docs.columns:
         free = f"_{free}"
     going = going.select(col(key).alias("_k"), F.col("lines").alias(free))
     both = docs.join(going, docs[f"`{key}`"] == going["_k"], "left").select(*[docs[f"`{c}`"] for c in docs.columns], going[free])
-    schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
+    schema = StructType(docs.schema.fields).add("n_lines", "long").add("n_dropped", "long").add("n_cut", "long")
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, counts, gone = [], [], []
+            texts, counts, gone, short = [], [], [], []
             for old, lines in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
-                old, drop, n = old.as_py(), {(x["path"], x["line"]) for x in lines.as_py() or ()}, 0
-                kept = []
-                for line in (old or "").split("\n"):
-                    x = line_keys(line.encode("utf-8", "surrogatepass"), depth) if drop else None
-                    n += 1 if drop and x else 0
-                    if not x or x[:2] not in drop:
-                        kept.append(line)
-                if not drop:
-                    n = sum(1 for line in kept if line.strip(" \t\n\r\x0b\f"))
-                texts.append("\n".join(kept) if drop else old)
-                counts.append(n)
-                gone.append(len((old or "").split("\n")) - len(kept))
-            cols = [*b.columns[:at], pa.array(texts, pa.string()), *b.columns[at + 1 : -1], pa.array(counts, pa.int64()), pa.array(gone, pa.int64())]
+                old, drop = old.as_py(), {(x["path"], x["line"]) for x in lines.as_py() or ()}
+                each = (old or "").split("\n")
+                kept = [without(line, drop, depth) for line in each] if drop else each
+                texts.append("\n".join(x for x in kept if x is not None) if drop else old)
+                counts.append(sum(1 for line in each if line.strip(" \t\n\r\x0b\f")))
+                gone.append(sum(x is None for x in kept))
+                short.append(sum(x is not None and x is not y and x != y for x, y in zip(kept, each, strict=True)))
+            cols = [*b.columns[:at], pa.array(texts, pa.string()), *b.columns[at + 1 : -1], *(pa.array(x, pa.int64()) for x in (counts, gone, short))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return in_arrow(both, run, schema)
