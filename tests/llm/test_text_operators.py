@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -82,7 +83,7 @@ def test_margin_is_the_scaled_dot_product_and_descent_separates():
     y = np.array([1] * 60 + [0] * 60)
     m = quality.fit(rows, y)
     assert all((m.score(r) >= 0.5) == bool(t) for r, t in zip(rows, y, strict=True))
-    x = np.zeros(1 << quality.BITS)
+    x = np.zeros(quality.SIZE)
     x[rows[0]] = m.ratio[rows[0]]
     assert abs(m.margin(rows[0]) - (x / np.linalg.norm(x) @ m.weights + m.bias)) < 1e-5
     assert 0 <= m.score(quality.features(b"")) <= 1
@@ -106,6 +107,82 @@ def test_features_of_chunks_are_those_of_the_whole(monkeypatch):
     assert np.array_equal(whole, quality.features(t))
 
 
+def test_repeats_are_ngrams_of_their_own():
+    ids = lambda t: set(quality.features(t).tolist())
+    top = 1 << quality.BITS
+    assert {x - top for x in ids(b"a b a b") if x >= top} == set() and {x - top for x in ids(b"a a b c c c") if x >= top} == {0, 1}
+    assert {x - top for x in ids(b"a " * 50) if x >= top} == set(range(quality.REPEATS)) and not ids(b"")
+
+
+def plain_scores(rows, labels):
+    """The whole classifier again, in plain loops: counts, ratios, the hinge loss by subgradient-free coordinate ascent, the curve."""
+    def grams(t):
+        b, out = t.encode(), set()
+        for n in (1, 2, 3, 4):
+            for i in range(len(b) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h * 0x01000193 + (b[i + k] + 1) * (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)[k]) % 2**32
+                out.add(((h ^ (h >> 15)) * 0x2C1B3C6D % 2**32) >> (32 - quality.BITS))
+        words = re.findall(rb"[^ \t\n\r\x0b\f]+", b)
+        longest = run = 0
+        for x, y in zip(words, words[1:], strict=False):
+            run = run + 1 if x == y else 0
+            longest = max(longest, run)
+        return out | {(1 << quality.BITS) + i for i in range(min(longest, quality.REPEATS))}
+
+    known = sorted((xxhash_of(i), str(i), t) for i, t in rows if i in labels and zlib.crc32(str(i).encode()) % 3 != 1)
+    y = [1.0 if labels[int(i)] else -1.0 for _, i, _ in known]
+    x = [grams(t) for *_, t in known]
+    held = [i % 5 == 1 for i in range(len(x))]
+    pos, neg, everything = {}, {}, set().union(*x)
+    for g, t, h in zip(x, y, held, strict=True):
+        for f in () if h else g:
+            side = pos if t > 0 else neg
+            side[f] = side.get(f, 0) + 1
+    p, q = sum(pos.values()) + quality.SIZE, sum(neg.values()) + quality.SIZE
+    ratio = lambda f: np.log((pos.get(f, 0) + 1) / p) - np.log((neg.get(f, 0) + 1) / q)
+    vector = lambda g: {f: r / max(np.sqrt(sum(ratio(k) ** 2 for k in g)), 1e-9) for f in g for r in [ratio(f)]}
+    v = [vector(g) for g in x]
+    fit = [i for i, h in enumerate(held) if not h]
+    w, bias, alpha = dict.fromkeys(everything, 0.0), 0.0, [0.0] * len(fit)
+    for _ in range(3000):  # to the optimum, which is one
+        moved = 0.0
+        for n, i in enumerate(fit):
+            g = y[i] * (sum(w[f] * z for f, z in v[i].items()) + bias) - 1
+            new = min(max(alpha[n] - g / (sum(z * z for z in v[i].values()) + 1), 0.0), 4.0)
+            step = (new - alpha[n]) * y[i]
+            alpha[n], bias, moved = new, bias + step, max(moved, abs(step))
+            for f, z in v[i].items():
+                w[f] += step * z
+        if moved < 1e-9:
+            break
+    margin = lambda g: sum(w.get(f, 0.0) * z for f, z in vector(g).items()) + bias
+    slope, offset = quality._platt(np.array([margin(x[i]) for i, h in enumerate(held) if h]), np.array([y[i] > 0 for i, h in enumerate(held) if h]))
+    return {i: 1 / (1 + np.exp(-(slope * margin(grams(t)) + offset))) for i, t in rows}
+
+
+def xxhash_of(key):
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(str(key).encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_scores_against_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(quality.dual_descent, "__defaults__", (3000,))
+    rng = random.Random(10)
+    good = lambda: " ".join(rng.choice(["stone", "river", "open", "and", "was"]) for _ in range(5))
+    bad = lambda: rng.choice([" ".join([rng.choice(["stone", "river"])] * 5), "BUY " + good().upper() + "!!", good() + " $$"])
+    rows = [(i, good() if i % 2 else bad()) for i in range(90)] + [(200, ""), (201, "x")]
+    labels = {i: i % 2 for i in range(80)}
+    table = spark.createDataFrame([(i, t, "", 0) for i, t in rows], DOC)
+    marked = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.quality_scores(table, quality.fit_quality(table, marked)).collect()}
+    want = plain_scores(rows, labels)
+    assert max(abs(got[i] - want[i]) for i in want) < 0.02 and max(want.values()) - min(want.values()) > 0.5
+
+
 def test_scores_edges_and_folds(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     m = quality.fit_quality(docs(spark), none)
@@ -143,9 +220,12 @@ def test_counts_are_the_librarys_and_cached(spark, tmp_path, name):
 
 def test_a_stored_count_is_believed(spark, tmp_path):
     path, v = str(tmp_path / "cache"), token_counts.tokenizer_version("piece_bpe_32k.model")
-    spark.createDataFrame([(v, bytearray(hashlib.sha256(b"same").digest()), 777), ("other", bytearray(hashlib.sha256(b"").digest()), 5)], token_counts.CACHE).write.parquet(path)
+    spark.createDataFrame([(v, bytearray(hashlib.sha256(b"same").digest()), 777), ("other", bytearray(hashlib.sha256(b"").digest()), 5)], token_counts.CACHE).write.partitionBy("version").parquet(path)
     got = {str(r.doc_id): r.n_tokens for r in token_counts.token_counts(docs(spark), "piece_bpe_32k.model", path).collect()}
     assert got["3"] == 777 and got["2"] == 0
+    token_counts.compacted(spark, path, v, path + "-new")
+    held = token_counts.read_cache(spark, path + "-new", v)
+    assert {(bytes(r.digest), r.n_tokens) for r in held.collect()} == {(bytes(r.digest), r.n_tokens) for r in token_counts.read_cache(spark, path, v).collect()} and held.count() > 3
 
 
 # pieces
@@ -225,3 +305,106 @@ def test_encoding_rows(spark):
     assert not got["8"].decoded_equal and got["7"].n_byte_pieces > 0 and got["5"].n_tokens == len(got["5"].ids)
     assert pieces.encoded(docs(spark, []), "piece_bpe_32k.model").count() == 0
     assert tokenizer_path("/some/where.model") == "/some/where.model"
+
+
+def edited(raw, piece=lambda i, p: b"", trainer=b"", normalizer=b""):
+    """A model file with more fields at the ends of its messages: the last of a field's values counts."""
+    def varint(n):
+        out = b""
+        while n >= 128:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out, i = b"", 0
+    for number, value in pieces._fields(raw):
+        if number == 1:
+            value, i = value + piece(i, value), i + 1
+        value += trainer if number == 2 else normalizer if number == 3 else b""
+        out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+@pytest.fixture(scope="module")
+def unigram():
+    """The public model's file with its type switched to unigram, and the scores of white space (-1e9, which the library's single precision can't add to) raised to -40,000."""
+    from tidemark.llm.common import tokenizer_bytes
+
+    score = lambda p: struct.unpack("<f", dict(pieces._fields(p)).get(2, bytes(4)))[0]
+    return edited(tokenizer_bytes("piece_bpe_32k.model"), lambda i, p: b"\x15" + struct.pack("<f", -40_000.0) if score(p) <= -1e8 else b"", b"\x18\x01")
+
+
+def library(raw, texts):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    return [sp.encode(t) for t in texts], [sp.decode(sp.encode(t)) for t in texts]
+
+
+def test_ids_are_the_librarys_unigram(spark, unigram):
+    lines = [x for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() for x in (r.text or "").split("\n")][:2000]
+    rng = random.Random(4)
+    lines += ["".join(rng.choice("ab é▁\t  你😀\u0300.,1") for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["", " ", "  a  b "]
+    e = pieces.Encoder(pieces.read_model(unigram))
+    ids, back = library(unigram, lines)
+    assert e.encode_batch(lines) == ids and [e.decode(x) for x in ids] == back
+
+
+def test_a_users_pieces_win_as_in_the_library(unigram):
+    own = {500: "USER A", 700: "river.stone", 900: "ab.ab"}
+    raw = edited(unigram, lambda i, p: (b"\x0a" + bytes([len(own[i])]) + own[i].encode() + b"\x18\x04") if i in own else b"")
+    e = pieces.Encoder(pieces.read_model(raw))
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["USER A", "river.stone", "ab.ab", "a", "b", " ", "stone", "river", "é"]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    assert [e.encode(t) for t in texts] == library(raw, texts)[0]
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
+def test_character_maps_are_the_librarys(unigram, rule):
+    import sentencepiece
+
+    chars = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+    spec = [v for n, v in pieces._fields(chars) if n == 3][0]
+    raw = edited(unigram, normalizer=spec)
+    e = pieces.Encoder(pieces.read_model(raw))
+    rng = random.Random(6)
+    pool = ["a", "A", "é", "e\u0301", "ﬁ", "①", "Ａ", "ｶﾞ", " ", "\u3000", "\u00a0", "\t", "ß", "한", "\u1112\u1161\u11ab", "x", "\u200b", "½", "İ"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) for _ in range(500)] + ["", " ", "  a  b  ", "\t"]
+    assert [e.encode(t) for t in texts] == library(raw, texts)[0]
+
+
+@pytest.mark.parametrize("extra", [{"normalizer": b"\x20\x00"}, {"normalizer": b"\x20\x01\x18\x00"}, {"trainer": b"\xc0\x01\x01"}, {"trainer": b"\xc0\x01\x01", "normalizer": b"\x20\x01"}])
+def test_spaces_are_handled_as_in_the_library(unigram, extra):
+    """Squeezed or not, with the marker before, after or not at all."""
+    raw = edited(unigram, **extra)
+    e = pieces.Encoder(pieces.read_model(raw))
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a", "the", " ", "  ", "é", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    ids, back = library(raw, texts)
+    assert [e.encode(t) for t in texts] == ids
+    if "trainer" not in extra:
+        assert [e.decode(x) for x in ids] == back
+    elif "normalizer" not in extra:  # the library takes the space away before the text, where it set none
+        assert [e.decode(x) for x in ids] == texts
+
+
+# names
+
+
+def test_keys_and_columns_of_any_name(spark, tmp_path):
+    """A key with a dot, a space and a quote, and columns named as the operators' own."""
+    k = "the `key.` of"
+    df = docs(spark, [(1, "a b c d e f g h i j k", "", 0), (2, "a b c d e f g h i j k l", "", 0), (None, None, "", 0)]).withColumnRenamed("doc_id", k)
+    df = df.withColumns({n: F.lit("mine") for n in ("ids", "n_tokens", "score", "held_out", "spans", "keys", "file", "h", "t", "c0", "y", "digest", "content", "starts", "_key")})
+    items = docs(spark, [(7, "b c d e f g h i j k", "", 0)]).withColumnRenamed("doc_id", "item.id")
+    from tidemark.llm import alike, fingerprints, packing, simhash
+
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, quality int").withColumnRenamed("doc_id", k)
+    model = quality.fit_quality(df, labels, k)
+    made = [
+        simhash.near_duplicates(df, k), decontaminate.contaminated_words(df, items, k, item="item.id"), pieces.encoded(df, "piece_bpe_32k.model", k),
+        quality.quality_scores(df, model, k), token_counts.token_counts(df, "piece_bpe_32k.model", key=k), fingerprints.edited_fingerprints(df, k), alike.alike_groups(df, k),
+    ]
+    assert all(sorted(str(r[k]) for r in m.collect()) == ["1", "2", "None"] for m in made)
+    assert sorted(k for r in packing.packed(df, key=k, folder=str(tmp_path / "p")).collect() for k in r["keys"]) == [1, 2]
+    for kept in (quality.keep_quality(df, model), decontaminate.keep_uncontaminated(df, items, item="item.id"), simhash.keep_one(df, k), alike.keep_one(df, k)):
+        assert kept.columns == df.columns and kept.count() <= 3

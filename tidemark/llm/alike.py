@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import per_batch, utf8
+from tidemark.llm.common import col, per_batch, quoted, utf8, with_key
 from tidemark.llm.simhash import SEED, link_edges, simhash
 from tidemark.operators.components import connected_components
 from tidemark.session import written
@@ -96,19 +96,18 @@ def alike_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     Texts are linked where their SimHashes are (see simhash.near_duplicates), or where their sets of
     shingles are alike. Rows without a key are linked by the former only.
     """
-    kind = dict(docs.dtypes)[key]
-    sk = written(per_batch(docs.select(key, text), _sketches(size), f"{key} {kind}, fp long, s long, bands array<long>, n int"), "alike-sketches")
+    sk = written(per_batch(docs.select(col(key), col(text)), _sketches(size), with_key(docs, key, "fp long, s long, bands array<long>, n int")).withColumnRenamed(key, "_key"), "alike-sketches")
     # as tables, so that joins stand on two plain exchanges, which AQE may split
     near = connected_components(written(link_edges(written(sk.select("fp").distinct(), "alike-prints")).distinct(), "alike-print-edges"), name="alike-print-components")
     rooted = written(sk.select("fp", "s").distinct().join(near.withColumnRenamed("node", "fp"), "fp", "left").select("s", F.coalesce("component", "fp").alias("root")).distinct(), "alike-roots")
     links = written(rooted.join(written(rooted.groupBy("root").agg(F.min("s").alias("b")), "alike-least"), "root").where("s <> b").select(F.col("s").alias("a"), "b").distinct(), "alike-print-links")
 
-    one = written(sk.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("s").agg(F.min(key).alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands")), "alike-distinct")
+    one = written(sk.where(F.col("_key").isNotNull() & (F.col("n") > 0)).groupBy("s").agg(F.min("_key").alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands")), "alike-distinct")
     at = one.select("s", "n", F.explode("bands").alias("band"))
     shared = written(at.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band"), "alike-bands")
     members = written(at.join(shared, "band"), "alike-members")
     wanted = written(one.join(members.select("s").distinct(), "s", "left_semi").select(F.col("k").alias("_k")), "alike-wanted")
-    sets = written(per_batch(docs.join(wanted, docs[key] == wanted["_k"], "left_semi").select(text), _sets(size), "s long, h array<long>").dropDuplicates(["s"]), "alike-sets")
+    sets = written(per_batch(docs.join(wanted, docs[quoted(key)] == wanted["_k"], "left_semi").select(col(text)), _sets(size), "s long, h array<long>").dropDuplicates(["s"]), "alike-sets")
     close = F.least("n", "m") >= least * F.greatest("n", "m")
     # each text meets the least of its bands' first ones
     hubs = members.join(written(members.groupBy("band").agg(F.min(F.struct("s", "n")).alias("hub")), "alike-hubs"), "band").select(F.col("hub.s").alias("a"), F.col("hub.n").alias("m"), F.col("s").alias("b"), "n")
@@ -126,12 +125,15 @@ def alike_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         more = _verified(written(pairs, "alike-pairs"), sets, least, "alike-links")
         if more.take(1):
             found = written(connected_components(links.unionByName(more), name="alike-components"), "alike-found")
-    labels = written(sk.groupBy("s").agg(F.min(key).alias("k")).join(found.withColumnRenamed("node", "s"), "s", "left").select("s", "k", F.coalesce("component", "s").alias("c")), "alike-ends")
+    labels = written(sk.groupBy("s").agg(F.min("_key").alias("k")).join(found.withColumnRenamed("node", "s"), "s", "left").select("s", "k", F.coalesce("component", "s").alias("c")), "alike-ends")
     first = written(labels.groupBy("c").agg(F.min("k").alias("component_id")), "alike-first")
-    return sk.select(key, "s").join(labels.select("s", "c"), "s").join(first, "c").select(key, "component_id")
+    return sk.select("_key", "s").join(labels.select("s", "c"), "s").join(first, "c").select(F.col("_key").alias(key), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, least: float = ALIKE) -> DataFrame:
-    """The rows of docs whose key is their component's id: one document of each group of near-duplicates. Rows with a null key stay."""
-    first = alike_groups(docs, key, text, size, least).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(first, docs[key] == first["_kept"], "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    """The rows of docs whose key is their component's id: one document of each group of near-duplicates.
+
+    Rows that repeat the kept key are one document and stay together; rows with a null key stay.
+    """
+    first = written(alike_groups(docs, key, text, size, least).where(col(key) == F.col("component_id")).select(F.col("component_id").alias("_kept")).distinct(), "alike-kept")
+    return docs.join(first, docs[quoted(key)] == first["_kept"], "left_semi").unionByName(docs.where(col(key).isNull()))

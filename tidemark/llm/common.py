@@ -13,7 +13,11 @@ from pyspark.sql.types import StructType
 
 def col(name: str) -> Column:
     """A column by its plain name, which may hold dots, spaces and quotes."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def with_key(docs: DataFrame, key: str, rest: str) -> StructType:

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import per_batch, utf8
+from tidemark.llm.common import col, in_arrow, per_batch, utf8, with_key
+from tidemark.session import discard, written
 
 #: Bytes of item text in one automaton; more items make more blocks, each scanned in its turn.
 BLOCK_BYTES = 8_000_000
@@ -86,9 +87,9 @@ def original_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int
 
 
 def item_blocks(items: DataFrame, item: str, text: str, block_bytes: int) -> list[DataFrame]:
-    total = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    total = items.agg(F.sum(F.octet_length(col(text)))).first()[0] or 0
     n = int(total // block_bytes) + 1
-    return [items.where(F.pmod(F.xxhash64(item, text), F.lit(n)) == i) for i in range(n)] if n > 1 else [items]
+    return [items.where(F.pmod(F.xxhash64(col(item), col(text)), F.lit(n)) == i) for i in range(n)] if n > 1 else [items]
 
 
 def contaminated_words(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -96,19 +97,22 @@ def contaminated_words(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
 
     Null or wordless texts and items hit nothing; null item ids count as the empty string; repeated
     items and documents are handled as they stand; no items or no documents give no hits or rows.
-    An automaton is broadcast for at most block_bytes of item text; items beyond that make further
-    blocks, each run over what the block before it returned.
+    One automaton is broadcast for at most block_bytes of item text. Items beyond that make further
+    blocks: each is a scan of its own over the table that the block before it wrote, after which its
+    broadcast is gone.
     """
     sc = docs.sparkSession.sparkContext
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(0).cast("long").alias("n"), F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.array().cast("array<string>").alias("ids"))
-    kind = out.schema["k"].dataType.simpleString()
+    out = docs.select(col(key).alias("k"), col(text).alias("t"), F.lit(0).cast("long").alias("n"), F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.array().cast("array<string>").alias("ids"))
     blocks = item_blocks(items, item, item_text, block_bytes)
     for i, block in enumerate(blocks):
-        rows = [(str(r[0]) if r[0] is not None else "", (r[1] or "").encode("utf-8", "surrogatepass")) for r in block.select(item, item_text).toLocalIterator()]
+        rows = [(str(r[0]) if r[0] is not None else "", (r[1] or "").encode("utf-8", "surrogatepass")) for r in block.select(col(item), col(item_text)).toLocalIterator()]
         shared = sc.broadcast(rows)
         if i + 1 < len(blocks):
-            out = per_batch(out, _block(shared, size, False), f"k {kind}, t string, n long, starts array<int>, ends array<int>, ids array<string>")
-    return per_batch(out, _block(shared, size, True), f"{key} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, word_spans array<array<int>>, char_spans array<array<int>>")
+            now = written(per_batch(out, _block(shared, size, False), out.schema), "decontaminate-block")
+            shared.unpersist(True)
+            discard(out)
+            out = now
+    return per_batch(out, _block(shared, size, True), with_key(docs, key, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, word_spans array<array<int>>, char_spans array<array<int>>"))
 
 
 def _block(shared, size: int, last: bool):
@@ -139,16 +143,26 @@ def _block(shared, size: int, last: bool):
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs in which no window of an item occurs, all columns as they were; blocks of items run one after the other over what is left."""
+    """The rows of docs in which no window of an item occurs, all columns as they were.
+
+    Null and wordless texts stay, repeated rows each stand for themselves. Blocks of items run one
+    after the other over what is left.
+    """
     sc = docs.sparkSession.sparkContext
-    out = docs
-    for block in item_blocks(items, item, item_text, block_bytes):
-        shared = sc.broadcast([("", (r[0] or "").encode("utf-8", "surrogatepass")) for r in block.select(item_text).toLocalIterator()])
+    out, at, names = docs, docs.columns.index(text), docs.columns
+    blocks = item_blocks(items, item, item_text, block_bytes)
+    for i, block in enumerate(blocks):
+        shared = sc.broadcast([("", (r[0] or "").encode("utf-8", "surrogatepass")) for r in block.select(col(item_text)).toLocalIterator()])
 
         def run(batches, shared=shared):
             a = automaton(shared.value, size)
             for b in batches:
-                yield b.filter(pa.array([not scan(a, t)[1] for t in utf8(b.column(b.schema.get_field_index(text)))], pa.bool_()))
+                yield b.filter(pa.array([not scan(a, t)[1] for t in utf8(b.column(at))], pa.bool_())).rename_columns(names)
 
-        out = out.mapInArrow(run, docs.schema)
+        now = in_arrow(out, run, docs.schema)
+        if i + 1 < len(blocks):
+            now = written(now, "decontaminate-block")
+            shared.unpersist(True)
+            discard(out)
+        out = now
     return out

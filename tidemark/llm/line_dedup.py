@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import col, in_arrow, per_batch, utf8
+from tidemark.llm.common import col, in_arrow, per_batch, quoted, utf8
 from tidemark.operators.components import connected_components
 from tidemark.session import written
 
@@ -302,7 +302,7 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     while free in docs.columns:
         free = f"_{free}"
     going = going.select(col(key).alias("_k"), F.col("lines").alias(free))
-    both = docs.join(going, docs[f"`{key}`"] == going["_k"], "left").select(*[docs[f"`{c}`"] for c in docs.columns], going[free])
+    both = docs.join(going, docs[quoted(key)] == going["_k"], "left").select(*[docs[quoted(c)] for c in docs.columns], going[free])
     schema = StructType(docs.schema.fields).add("n_lines", "long").add("n_dropped", "long").add("n_cut", "long")
     at = docs.columns.index(text)
 

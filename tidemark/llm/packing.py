@@ -15,16 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from tidemark.llm.common import tokenizer_bytes
+from tidemark.llm.common import col, in_arrow, tokenizer_bytes
 from tidemark.llm.warc import _put
 from tidemark.session import shared_dir
 
 LENGTH = 2048
 #: Tokens that one task packs at a time, about; a longer document still goes whole into one block.
 BLOCK_TOKENS = 4_000_000
-FIELDS = "file string, row_no int, n_tokens int, keys array<{}>, offsets array<int>, cu_seqlens array<int>, position_resets array<int>, ids_sha256 string"
+FIELDS = "file string, row_no int, n_tokens int, offsets array<int>, cu_seqlens array<int>, position_resets array<int>, ids_sha256 string"
 
 
 class CapacityTree:
@@ -116,7 +116,6 @@ def packed(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", folder: st
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "packed")
-    kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -155,6 +154,8 @@ def packed(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", folder: st
         if documents:
             yield flush()
 
-    rows = docs.select(F.col(key), F.col(text)).mapInArrow(run, FIELDS.format(kind))
+    fields = StructType.fromDDL(FIELDS).fields
+    schema = StructType([*fields[:3], StructField("keys", ArrayType(docs.schema[key].dataType)), *fields[3:]])
+    rows = in_arrow(docs.select(col(key), col(text)), run, schema)
     rows.write.parquet(f"{folder}/layout")
     return spark.read.schema(rows.schema).parquet(f"{folder}/layout")

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
-The model file's pieces and log scores are read as they are. Code points that no piece covers
-become byte pieces. Where no piece holds a white-space marker after other code points, the best
+The model file's pieces, log scores and character map are read as they are. Code points that no
+piece covers become byte pieces; a user's own pieces win over other paths. Where no piece holds a white-space marker after other code points, the best
 path never crosses a word's start, so paths are found word by word and kept for words seen before.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import tokenizer_bytes
+from tidemark.llm.common import col, in_arrow, tokenizer_bytes, with_key
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -60,6 +60,9 @@ class Pieces:
     kinds: list[int]
     dummy_prefix: bool = True
     squeeze: bool = True
+    escape: bool = True
+    suffix: bool = False
+    characters: bytes = b""
 
 
 def read_model(raw: bytes) -> Pieces:
@@ -70,14 +73,47 @@ def read_model(raw: bytes) -> Pieces:
             m.pieces.append(f.get(1, b"").decode())
             m.scores.append(struct.unpack("<f", f[2])[0] if 2 in f else 0.0)
             m.kinds.append(f.get(3, NORMAL))
+        elif number == 2:
+            m.suffix = bool(dict(_fields(value)).get(24, 0))
         elif number == 3:
             f = dict(_fields(value))
-            if f.get(2):
-                raise ValueError("a model with a character map isn't read here")
-            m.dummy_prefix, m.squeeze = bool(f.get(3, 1)), bool(f.get(4, 1))
+            m.dummy_prefix, m.squeeze, m.escape, m.characters = bool(f.get(3, 1)), bool(f.get(4, 1)), bool(f.get(5, 1)), f.get(2, b"")
     return m
 
 
+class CharacterMap:
+    """A model's own normalisation: the longest key at a place becomes its replacement. Keys are in a double array of 32-bit units."""
+
+    def __init__(self, raw: bytes) -> None:
+        size = struct.unpack_from("<I", raw)[0] if raw else 0
+        self.units = struct.unpack_from(f"<{size // 4}I", raw, 4) if raw else ()
+        self.texts = raw[4 + size :]
+
+    @staticmethod
+    def _step(unit: int) -> int:
+        return (unit >> 10) << ((unit & 0x200) >> 6)
+
+    def at(self, text: bytes, i: int) -> tuple[bytes, int]:
+        """(replacement, end) of what begins at byte i: of the longest key, else the code point itself."""
+        units, found = self.units, None
+        if units:
+            p, j = self._step(units[0]), i
+            while j < len(text):
+                p ^= text[j]
+                if p >= len(units) or units[p] & 0x800000FF != text[j]:
+                    break
+                unit = units[p]
+                p ^= self._step(unit)
+                j += 1
+                if unit >> 8 & 1:
+                    found = units[p] & 0x7FFFFFFF, j
+        if found:
+            return self.texts[found[0] : self.texts.index(b"\0", found[0])], found[1]
+        b = text[i]
+        end = i + (1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4)
+        return text[i:end], end
+
+
 class DoubleArray:
     """A trie in two arrays: from node p, byte b leads to base[p] + b + 1 if check there is p. value[p] is a piece's id or -1."""
 
@@ -133,7 +169,6 @@ class Encoder:
         self.trie = DoubleArray([(p.encode(), i) for i, p in usable])
         self.scores = [float(s) for s in model.scores]
         self.np_base, self.np_check, self.np_value = (np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value))
-        self.np_scores = np.array(self.scores)
         # the least of the ordinary pieces' scores
         self.unknown_score = min((self.scores[i] for i, p in usable if model.kinds[i] == NORMAL), default=0.0) - UNKNOWN_PENALTY
         self.unknown = model.kinds.index(UNKNOWN) if UNKNOWN in model.kinds else 0
@@ -142,16 +177,45 @@ class Encoder:
             if k == BYTE:
                 self.bytes[int(p[3:5], 16)] = i
         self.fallback = min(self.bytes) >= 0
-        crossing = any(MARK in p.lstrip(MARK) for _, p in usable)
+        # a user's own pieces are to win over other paths
+        most = max((self.scores[i] for i, _ in usable if model.kinds[i] == NORMAL), default=0.0)
+        own = {i: p for i, p in usable if model.kinds[i] == USER}
+        for i, p in own.items():
+            self.scores[i] = len(p.encode()) * most - 0.1
+        self.np_scores = np.array(self.scores)
+        self.whole = re.compile(b"|".join(re.escape(p.encode()) for p in sorted(own.values(), key=len, reverse=True))) if own else None
+        self.characters = CharacterMap(model.characters) if model.characters or own else None
+        self.space = MARK if model.escape else " "
+        crossing = any(MARK in p.lstrip(MARK) or " " in p for _, p in usable) or not model.escape or model.suffix
         ends = any("\n" in p for _, p in usable)
-        self.words = None if crossing else re.compile(r" *[^ ]+| +" if ends else r"\n| *[^ \n]+| +")
+        self.words = None if crossing else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if ends else f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
         self.paths: dict[str, tuple[int, ...]] = {}
         self.text = [b"" if k in (CONTROL, UNUSED) else bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
 
     def prepared(self, text: str) -> str:
-        if self.model.squeeze:
+        """The text as the model's normaliser gives it, white space still as spaces."""
+        if self.characters:
+            text = self._mapped(text.encode("utf-8", "replace")).decode("utf-8", "replace")
+        elif self.model.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
-        return " " + text if text and self.model.dummy_prefix else text
+        if text and self.model.dummy_prefix:
+            return text + " " if self.model.suffix else " " + text
+        return text
+
+    def _mapped(self, text: bytes) -> bytes:
+        """Replacements from left to right, a user's pieces left as they are; with spaces squeezed as they come out."""
+        out, i, blank, squeeze = bytearray(), 0, True, self.model.squeeze
+        while i < len(text):
+            if self.whole and (m := self.whole.match(text, i)):
+                new, i = m[0], m.end()
+            else:
+                new, i = self.characters.at(text, i)
+            if squeeze:
+                new = new.lstrip(b" ") if blank else new
+                if new:
+                    blank = new.endswith(b" ")
+            out += new
+        return bytes(out.rstrip(b" ")) if squeeze else bytes(out)
 
     def best_path(self, text: bytes) -> tuple[int, ...]:
         """Ids of the path with the largest sum of scores; in a tie the one found first, from the left and from short to long."""
@@ -244,13 +308,13 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         if self.words is None:
-            return [list(self.best_path(t.replace(" ", MARK).encode("utf-8", "replace"))) for t in map(self.prepared, texts)]
+            return [list(self.best_path(t.replace(" ", self.space).encode("utf-8", "replace"))) for t in map(self.prepared, texts)]
         paths, find = self.paths, self.words.findall
         if len(paths) >= REMEMBERED:
             paths.clear()
-        each = [find(self.prepared(t)) for t in texts]
+        each = [find(self.prepared(t).replace(" ", MARK)) for t in texts]  # a marker in the text is a space like any other
         new = list({w for words in each for w in words if w not in paths})
-        own = dict(zip(new, self.best_paths([w.replace(" ", MARK).encode("utf-8", "replace") for w in new]), strict=True))
+        own = dict(zip(new, self.best_paths([w.encode("utf-8", "replace") for w in new]), strict=True))
         long = {w for w in new if len(w) > WORD_BYTES}
         paths.update((w, p) for w, p in own.items() if w not in long)
         out = []
@@ -265,8 +329,10 @@ class Encoder:
         return self.encode_batch([text])[0]
 
     def decode(self, ids) -> str:
-        """Pieces put together, markers as spaces, without the space that encoding set before; bytes that are no UTF-8 become U+FFFD."""
+        """Pieces put together, markers as spaces, without the space that encoding set before (or after); bytes that are no UTF-8 become U+FFFD."""
         out = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
+        if self.model.dummy_prefix and self.model.suffix:
+            return out.removesuffix(" ")
         return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
 
 
@@ -283,10 +349,12 @@ def encoder(name: str) -> Encoder:
 def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, ids, n_tokens, n_byte_pieces, decoded_equal (decoding gives the text again).
 
-    Null texts are empty ones, with no ids. Texts that hold the marker itself decode to a space
-    there, and a model that squeezes spaces decodes to the squeezed text: decoded_equal is false.
+    Null texts are empty ones, with no ids; keys may be null or repeated, each row stands for itself;
+    an empty table gives no rows. Texts that hold the marker itself decode to a space there, and a
+    model that squeezes spaces or maps characters decodes to what it prepared: decoded_equal is
+    false. A text is taken whole; a word of more than WORD_BYTES is not remembered, and a text
+    without spaces is one word, with memory in proportion to it.
     """
-    kind = dict(docs.dtypes)[key]
 
     def run(batches):
         e = encoder(model)
@@ -306,4 +374,4 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(lengths), pa.array(fallback, pa.int64()), pa.array(equal, pa.bool_())], names=names)
 
-    return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, f"{key} {kind}, ids array<int>, n_tokens long, n_byte_pieces long, decoded_equal boolean")
+    return in_arrow(docs.select(col(key), F.coalesce(col(text), F.lit("")).alias("t")), run, with_key(docs, key, "ids array<int>, n_tokens long, n_byte_pieces long, decoded_equal boolean"))

@@ -1,9 +1,10 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text is the set of its byte n-grams, hashed, with one indicator of how many of its word
-bigrams are a word and itself again. Indicators are scaled by the log ratio of their
-smoothed counts in the two classes, texts are brought to unit length, and a linear hinge-loss
-model is fitted by dual coordinate descent on a bounded sample of the labelled rows.
+A text is the set of its byte n-grams, hashed, and of the n-grams of repetition: each word is
+the one before it or isn't, and a run of n repeats is the n-gram of the former. Indicators are scaled
+by the log ratio of their smoothed counts in the two classes, texts are brought to unit length, and
+a linear hinge-loss model is fitted by dual coordinate descent on a bounded sample of the labelled
+rows.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import per_batch, utf8
+from tidemark.llm.common import col, in_arrow, per_batch, utf8, with_key
 
 BITS = 17
 ORDERS = (1, 2, 3, 4)
-#: Labelled rows that the model is fitted on, about; more are thinned by a hash of the key.
-FIT_ROWS = 6000
+#: Runs of repeated words that are told apart, by ids of their own above the hashed ones.
+REPEATS = 8
+SIZE = (1 << BITS) + REPEATS
+#: Labelled rows that the model is fitted on, about; more are thinned by a hash of the key. Indicators of all these rows that the driver holds at most.
+FIT_ROWS, FIT_IDS = 6000, 40_000_000
 #: Of these, the share kept from the fit to set the scale of the scores.
 CALIBRATION = 0.2
 #: Bytes hashed at a time, so that a very long text needs no more memory.
@@ -29,9 +33,9 @@ CHUNK = 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
-def features(text: bytes, flags: np.ndarray | None = None) -> np.ndarray:
-    """Sorted ids of the hashed n-grams that occur in the whole text, and of its repeated words' class; an empty one has only that."""
-    flags = np.zeros(1 << BITS, bool) if flags is None else flags
+def features(text: bytes, flags: np.ndarray | None = None, repeats: int = REPEATS) -> np.ndarray:
+    """Sorted ids of the n-grams that occur in the whole text; an empty one has none."""
+    flags = np.zeros(SIZE, bool) if flags is None else flags
     longest = max(ORDERS)
     for at in range(0, len(text), CHUNK):
         b = np.frombuffer(text, np.uint8, min(CHUNK + longest - 1, len(text) - at), at).astype(np.uint32)
@@ -43,8 +47,8 @@ def features(text: bytes, flags: np.ndarray | None = None) -> np.ndarray:
             if n in ORDERS:
                 flags[(h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - BITS)] = True
     words = text.split()
-    again = sum(map(eq, words, words[1:]))
-    flags[[0, 1, 2, 3][(again > 0) + (again * 100 > len(words)) + (again * 10 > len(words))]] = True
+    again = bytes(map(eq, words, words[1:]))
+    flags[1 << BITS : (1 << BITS) + min(repeats, max(map(len, again.split(b"\0"))))] = True
     ids = np.flatnonzero(flags)
     flags[ids] = False
     return ids.astype(np.int32)
@@ -69,7 +73,7 @@ class Model:
 
 
 def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
-    p, q = (smooth + sum((np.bincount(r, minlength=1 << BITS) for r, t in zip(rows, y, strict=True) if (t > 0) == side), np.zeros(1 << BITS)) for side in (True, False))
+    p, q = (smooth + sum((np.bincount(r, minlength=SIZE) for r, t in zip(rows, y, strict=True) if (t > 0) == side), np.zeros(SIZE)) for side in (True, False))
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
@@ -99,7 +103,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 4.0) -> Model:
     y = np.where(np.asarray(labels) > 0, 1.0, -1.0)
     if len(y) == 0 or abs(y.sum()) == len(y):
         share = (np.sum(y > 0) + 1) / (len(y) + 2)
-        zero = np.zeros(1 << BITS, np.float32)
+        zero = np.zeros(SIZE, np.float32)
         return Model(zero, zero, 0.0, 0.0, float(np.log(share / (1 - share))))
     held = np.arange(len(y)) % max(2, round(1 / CALIBRATION)) == 1
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
@@ -109,7 +113,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 4.0) -> Model:
     for r in rows:
         v = ratio[r]
         vectors.append((r, v / max(float(np.sqrt(v @ v)), 1e-9)))
-    w, bias = dual_descent([v for v, h in zip(vectors, held, strict=True) if not h], y[~held], np.full(int((~held).sum()), c), 1 << BITS)
+    w, bias = dual_descent([v for v, h in zip(vectors, held, strict=True) if not h], y[~held], np.full(int((~held).sum()), c), SIZE)
     m = Model(ratio.astype(np.float32), w.astype(np.float32), float(bias), 1.0, 0.0)
     use = held if held.any() else ~held
     m.slope, m.offset = _platt(np.array([m.margin(r) for r, u in zip(rows, use, strict=True) if u]), y[use] > 0)
@@ -134,36 +138,50 @@ def _platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fold(key: str):
     """crc32 of the key as text, modulo 3; 1 marks the held-out rows."""
-    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3
+    return F.crc32(F.coalesce(col(key).cast("string"), F.lit("")).cast("binary")) % 3
 
 
 def thinned(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About so many rows of df at most, chosen by a hash of the key."""
     n = df.count()
-    return df if n <= rows else df.where(F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(col(key), F.lit("fit")), F.lit(1 << 20)) < int((1 << 20) * rows / n))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
-    """A model of about fit_rows labelled rows at most, none of them held out. Rows without a label or with an unknown key don't count; a key with several labels takes the least."""
-    marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold(key) != 1)).groupBy(key).agg(F.min(label).alias("y"))
-    chosen = thinned(marked, key, fit_rows)
-    rows = docs.where(F.col(key).isNotNull() & (fold(key) != 1)).select(key, text).join(F.broadcast(chosen), key)  # fit_rows bounds what is broadcast
+def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS, fit_ids: int = FIT_IDS) -> Model:
+    """A model of about fit_rows labelled rows at most, none of them held out, with fit_ids indicators in all at most.
+
+    Rows without a label, with an unknown or a null key don't count; a key with several labels takes
+    the least, and a key with several texts counts with each. Null texts are empty ones. Without
+    rows of both classes every score is the smoothed share of label 1.
+    """
+    marked = labels.where(col(key).isNotNull() & col(label).isNotNull() & (fold(key) != 1)).groupBy(col(key).alias("k")).agg(F.min(col(label)).alias("y"))
+    chosen = thinned(marked, "k", fit_rows)
+    # fit_rows bounds what is broadcast
+    rows = docs.where(col(key).isNotNull() & (fold(key) != 1)).select(col(key).alias("k"), col(text).alias("t")).join(F.broadcast(chosen), "k").select("k", "t", "y")
 
     def make():
-        flags = np.zeros(1 << BITS, bool)
+        flags = np.zeros(SIZE, bool)
         return lambda b: [b.column(0).cast(pa.string()), b.column(2), [features(t, flags).tobytes() for t in utf8(b.column(1))]]
 
-    got = sorted((r.k, r.y, bytes(r.ids)) for r in per_batch(rows, make, "k string, y int, ids binary").toLocalIterator())
-    return fit([np.frombuffer(ids, np.int32) for _, _, ids in got], np.array([y for _, y, _ in got]))
+    got, size = [], 0
+    for r in per_batch(rows, make, "k string, y int, ids binary").orderBy(F.xxhash64("k"), "k", F.xxhash64("ids")).toLocalIterator():
+        ids = np.frombuffer(bytes(r.ids), np.int32)
+        if (size := size + len(ids)) > fit_ids:
+            break
+        got.append((r.y, ids))
+    return fit([ids for _, ids in got], np.array([y for y, _ in got]))
 
 
 def quality_scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: key, held_out, score, predicted (score >= 0.5). Null texts score as empty ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two vectors of 2 ** BITS floats, whatever the data
-    kind = dict(docs.dtypes)[key]
+    """One row per row of docs: key, held_out, score, predicted (score >= 0.5).
+
+    Null texts score as empty ones, texts of any length whole. Keys may be null (folded as the empty
+    string) or repeated, each row stands for itself; an empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two vectors of SIZE floats, whatever the data
 
     def make():
-        m, flags = shared.value, np.zeros(1 << BITS, bool)
+        m, flags = shared.value, np.zeros(SIZE, bool)
 
         def f(b: pa.RecordBatch):
             scores = [m.score(features(t, flags)) for t in utf8(b.column(2))]
@@ -171,16 +189,17 @@ def quality_scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str
 
         return f
 
-    return per_batch(docs.select(F.col(key), (fold(key) == 1).alias("held_out"), F.col(text)), make, f"{key} {kind}, held_out boolean, score double, predicted int")
+    return per_batch(docs.select(col(key), (fold(key) == 1).alias("held_out"), col(text)), make, with_key(docs, key, "held_out boolean, score double, predicted int"))
 
 
 def keep_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs that the model doesn't reject, all columns as they were."""
+    """The rows of docs that the model doesn't reject, all columns as they were; null texts are judged as empty ones."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, names = docs.columns.index(text), docs.columns
 
     def run(batches):
-        m, flags = shared.value, np.zeros(1 << BITS, bool)
+        m, flags = shared.value, np.zeros(SIZE, bool)
         for b in batches:
-            yield b.filter(pa.array([m.score(features(t, flags)) >= 0.5 for t in utf8(b.column(b.schema.get_field_index(text)))], pa.bool_()))
+            yield b.filter(pa.array([m.score(features(t, flags)) >= 0.5 for t in utf8(b.column(at))], pa.bool_())).rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import col, per_batch, utf8, with_key
+from tidemark.llm.common import col, per_batch, quoted, utf8, with_key
 from tidemark.operators.components import connected_components
 from tidemark.session import written
 
@@ -248,4 +248,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     """
     first = near_duplicates(docs, key, text, size).where(col(key) == F.col("component_id")).select(F.col("component_id").alias("_kept")).distinct()
     first = written(first, "simhash-kept")
-    return docs.join(first, docs[f"`{key}`"] == first["_kept"], "left_semi").unionByName(docs.where(col(key).isNull()))
+    return docs.join(first, docs[quoted(key)] == first["_kept"], "left_semi").unionByName(docs.where(col(key).isNull()))

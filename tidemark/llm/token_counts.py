@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import per_batch, tokenizer_bytes, tokenizer_path
+from tidemark.llm.common import col, per_batch, tokenizer_bytes, tokenizer_path
 from tidemark.session import shared_dir, written
 
 CACHE = "version string, digest binary, n_tokens long"
@@ -45,7 +45,7 @@ def counter(name: str):
 
 def _content(text: str):
     """The normalised content. The counters read every code point, so only null changes: it is empty."""
-    return F.coalesce(F.col(text), F.lit(""))
+    return F.coalesce(col(text), F.lit(""))
 
 
 def _digest(text: str):
@@ -57,6 +57,18 @@ def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
     return spark.read.schema(CACHE).option("pathGlobFilter", "*.parquet").parquet(path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def append(counts: DataFrame, path: str) -> None:
+    """Adds rows of CACHE to a cache. A folder for each tokenizer version, so that a run reads its own only."""
+    counts.write.mode("append").partitionBy("version").parquet(path)
+
+
+def compacted(spark: SparkSession, path: str, version: str, new_path: str, digests_per_file: int = 5_000_000) -> None:
+    """A version's counts in few files, each digest once, in a new cache folder for later runs: the old one may still be read meanwhile."""
+    own = written(read_cache(spark, path, version), "token-counts-own")
+    files = max(1, -(-own.count() // digests_per_file))
+    append(own.repartition(files, "digest").select(F.lit(version).alias("version"), "digest", "n_tokens"), new_path)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, cache_path: str | None = None, key: str = "doc_id", text: str = "text", limit: int = 4096) -> DataFrame:
     """One row per row of docs: key, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -68,7 +80,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str | None = None,
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer)
     path = cache_path or shared_dir(spark, "token-counts")
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(path)
+    append(spark.createDataFrame([], CACHE), path)
     held = read_cache(spark, path, version)
 
     def first_seen():
@@ -103,9 +115,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str | None = None,
     texts = docs.select(_digest(text).alias("digest"), _content(text).alias("content"))
     misses = per_batch(texts, first_seen, "digest binary, content string").join(held, "digest", "left_anti")
     misses = misses.repartition("digest").sortWithinPartitions("digest")
-    per_batch(misses, encode, CACHE).write.mode("append").parquet(path)
+    append(per_batch(misses, encode, CACHE), path)
 
-    rows = docs.select(F.col(key).alias(key), F.octet_length(_content(text)).cast("long").alias("n_bytes"), _digest(text).alias("digest"))
+    rows = docs.select(col(key), F.octet_length(_content(text)).cast("long").alias("n_bytes"), _digest(text).alias("digest"))
     # as a table, so that the join stands on two plain exchanges, which AQE may split at a hot digest
     counts = written(read_cache(spark, path, version), "token-counts-known")
-    return rows.join(counts, "digest").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return rows.join(counts, "digest").select(col(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
