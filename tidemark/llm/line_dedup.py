@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import col, in_arrow, per_batch, quoted, utf8
 from tidemark.operators.components import connected_components
-from tidemark.session import written
+from tidemark.session import discard, written
 
 #: Leading tokens on a path, share of places that must agree, documents that make a template recur.
 DEPTH, ALIKE, MIN_DOCS = 4, 0.8, 2
@@ -35,9 +35,9 @@ HOT_LINES = 200_000
 _DIGITS = bytes(range(0x30, 0x3A))
 FIELD = b"\0"
 #: Words of the longest line that is one unit; one pair of words in CUT begins a unit in longer ones.
-WHOLE, CUT = 24, 8
+WHOLE, CUT = 24, 16
 #: Words of the shortest unit in a long line that is looked up, and of the shortest run that goes from one.
-SHORT, RUN = 4, 16
+SHORT, RUN = 8, 16
 _WORD = re.compile(rb"[^ \t\n\r\x0b\f]+")
 
 
@@ -267,10 +267,13 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     """
     known = docs.where(col(key).isNotNull()).select(col(key).alias("k"), col(text).alias("t"))
     kind = StructType([StructField("path", LongType()), StructField("line", LongType()), StructField("k", docs.schema[key].dataType)])
-    seen = written(per_batch(known, _sightings(depth), kind).distinct(), "lines-seen")
-    # leaves that lie in one document alone need no tokens; written, so that the join stands on a plain exchange or a broadcast
-    shared = seen.groupBy("path").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.min("line").alias("c"), F.max("line").alias("d"), F.count("*").alias("n"))
-    shared = written(shared.where("a <> b and c <> d").select("path", "n"), "lines-shared")
+    every = written(per_batch(known, _sightings(depth), kind), "lines-sighted")
+    # most paths lie in one document alone: their units go no further. Each join below stands on plain exchanges or a broadcast.
+    paths = written(every.groupBy("path").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("path"), "lines-paths")
+    seen = written(every.join(paths, "path", "left_semi").distinct(), "lines-seen")
+    # and leaves of one unit need no tokens
+    shared = written(seen.groupBy("path").agg(F.min("line").alias("c"), F.max("line").alias("d"), F.count("*").alias("n")).where("c <> d").select("path", "n"), "lines-shared")
+    discard(every, paths)
     tokens = per_batch(docs.select(col(text)), _tokens(depth), "path long, line long, tokens binary").join(shared.select("path"), "path", "left_semi")
     hot = shared.where(F.col("n") > hot_lines).select("path")
     if hot.take(1):
@@ -281,7 +284,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
         tokens = tokens.select("path", F.lit(0).cast("long").alias("part"), "line", "tokens")
     merged = tokens.repartition("path", "part").sortWithinPartitions("path", "part", "line").mapInArrow(_leaves(depth, alike), "path long, line long, template long")
     merged = written(merged, "line-templates")
-    named = seen.join(merged, ["path", "line"], "left").withColumn("template", F.coalesce("template", "line"))
+    named = written(seen.join(merged, ["path", "line"], "left").withColumn("template", F.coalesce("template", "line")), "lines-named")
     recurring = named.groupBy("path", "template", "k").agg(F.lit(1).alias("one")).groupBy("path", "template").agg(F.count("*").alias("n"), F.min("k").alias("first")).where(F.col("n") >= min_docs)
     # as a table, so that the join stands on two plain exchanges, which AQE may split at a hot template
     recurring = written(recurring, "lines-recurring")
