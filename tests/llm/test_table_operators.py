@@ -8,7 +8,6 @@ import re
 import struct
 import time
 import tracemalloc
-import zlib
 from datetime import date, timedelta
 
 import numpy as np
@@ -151,16 +150,40 @@ def test_near_copies_at_0_8_are_linked(spark):
 # line templates
 
 
+M64 = (1 << 64) - 1
+
+
+def mix(x):
+    x = (x ^ x >> 30) * line_dedup._PAIRS & M64
+    x = (x ^ x >> 27) * line_dedup._SIZES & M64
+    return x ^ x >> 31
+
+
+def plain_hash(values, base):
+    return sum((v + 1) * pow(base, i, 1 << 64) for i, v in enumerate(values)) & M64
+
+
+def plain_word(w):
+    b = w.encode()
+    return line_dedup.FIELD if re.search("[0-9]", w) else mix(plain_hash(b, line_dedup._BYTES) ^ len(b) * line_dedup._SIZES & M64)
+
+
 def plain_units(line):
     """(first word, end, path, words) of a line's units, as the rules say; short ones of long lines without a path."""
     words = ["\0" if re.search("[0-9]", w) else w for w in re.findall(r"[^ \t\n\r\x0b\f]+", line)]
-    at = [0, *(i for i in range(1, len(words)) if zlib.crc32(words[i].encode(), zlib.crc32(words[i - 1].encode())) % line_dedup.CUT == 0), len(words)] if len(words) > line_dedup.WHOLE else [0, len(words)]
+    h = [line_dedup.FIELD if w == "\0" else plain_word(w) for w in words]
+    at = [0, *(i for i in range(1, len(words)) if mix((h[i - 1] * line_dedup._PAIRS + h[i]) & M64) % line_dedup.CUT == 0), len(words)] if len(words) > line_dedup.WHOLE else [0, len(words)]
     return [(a, b, (b - a, *words[a : min(b, a + line_dedup.DEPTH)]) if b - a >= line_dedup.SHORT or len(at) == 2 else None, words[a:b]) for a, b in zip(at, at[1:], strict=False) if b > a]
 
 
+def plain_name(words):
+    x = mix((plain_hash([line_dedup.FIELD if w == "\0" else plain_word(w) for w in words], line_dedup._WORDS) + len(words)) & M64)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def plain_drop(rows, alike=line_dedup.ALIKE, min_docs=2):
     """The same rule over whole lines in memory."""
-    h = lambda words: line_dedup.unit_keys([w.encode() for w in words])[1]
+    h = plain_name
     leaves = {}
     for _, t, *_ in rows:
         for line in (t or "").split("\n"):
@@ -213,6 +236,40 @@ def plain_drop(rows, alike=line_dedup.ALIKE, min_docs=2):
     return sorted(out, key=str)
 
 
+def test_units_are_the_same_in_any_company(monkeypatch):
+    rng = random.Random(3)
+    pool = ["word", "é", "a1", "x", " ", "\n", "\t", "\r\n", "longer words here", "\u00a0", "d😀"]
+    texts = ["", "\n", " ", "a", "\n\nb\n"] + [" ".join(rng.choices(pool, k=rng.randint(0, 200))) for _ in range(40)]
+    raw = [t.encode() for t in texts]
+    together = line_dedup.Units(raw)
+    monkeypatch.setattr(line_dedup, "AT_ONCE", 50)
+    assert [i for at, some in line_dedup.chunks(raw) for i in range(at, at + len(some))] == list(range(len(raw)))
+    for n, t in enumerate(texts):
+        alone, own = line_dedup.Units([raw[n]]), together.of(n)
+        for field in ("path", "name", "line", "begin", "end", "counted"):
+            assert getattr(alone, field).tolist() == getattr(together, field)[own.start : own.stop].tolist(), field
+        want = [(i, len(w), path is not None, plain_name(w)) for i, line in enumerate(t.split("\n")) for _, _, path, w in plain_units(line)]
+        assert [(int(alone.line[i]), int(alone.last[i] - alone.first[i]), bool(alone.counted[i]), int(alone.name[i])) for i in range(len(alone.name))] == want
+        assert all(line_dedup._SPACE[list(raw[n][a:b])].sum() < b - a for a, b in zip(alone.begin.tolist(), alone.end.tolist(), strict=True))
+    paths = {}
+    for line in texts:
+        for _, _, path, w in [x for part in line.split("\n") for x in plain_units(part)]:
+            if path:
+                paths.setdefault(plain_name(w), path)
+    seen = {}
+    for i in np.flatnonzero(together.counted).tolist():
+        assert seen.setdefault(paths[int(together.name[i])], int(together.path[i])) == int(together.path[i])
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_a_map_of_paths_holds_them_all(spark):
+    paths = [random.Random(2).getrandbits(63) - (1 << 62) for _ in range(3000)]
+    bits = line_dedup.path_map(spark.createDataFrame([(p,) for p in paths], "path long"))
+    at = np.array(paths) % (len(bits) * 8)
+    assert (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).all() and np.bitwise_count(bits).sum() <= 3000
+    assert not line_dedup.path_map(spark.createDataFrame([], "path long")).any()
+
+
 @pytest.mark.parametrize("hot_lines", [line_dedup.HOT_LINES, 12])
 def test_lines_against_brute_force(spark, hot_lines):
     rng = random.Random(6)

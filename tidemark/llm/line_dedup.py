@@ -11,12 +11,11 @@ In the others a line goes whose units all recur, and so does a run of such units
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterator
-from zlib import crc32
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,92 +27,156 @@ from tidemark.session import discard, written
 
 #: Leading tokens on a path, share of places that must agree, documents that make a template recur.
 DEPTH, ALIKE, MIN_DOCS = 4, 0.8, 2
-#: Distinct lines that a task remembers before it forgets them all and starts anew.
-REMEMBERED = 300_000
+#: Units that a task remembers before it forgets them all and starts anew, and bytes of text that it takes at once.
+REMEMBERED, AT_ONCE = 300_000, 1 << 20
 #: Sightings of lines of one leaf beyond which it is dealt out to several tasks.
 HOT_LINES = 200_000
-_DIGITS = bytes(range(0x30, 0x3A))
-FIELD = b"\0"
 #: Words of the longest line that is one unit; one pair of words in CUT begins a unit in longer ones.
-WHOLE, CUT = 24, 16
+WHOLE, CUT = 24, 8
 #: Words of the shortest unit in a long line that is looked up, and of the shortest run that goes from one.
-SHORT, RUN = 8, 16
-_WORD = re.compile(rb"[^ \t\n\r\x0b\f]+")
+SHORT, RUN = 4, 16
+#: Bits of the largest map of paths that tasks hold. It spares the others a shuffle; its errors cost only that.
+MAP_BITS = 28
 
+_MASK = (1 << 64) - 1
+_BYTES, _WORDS, _PAIRS, _SIZES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+FIELD = 0x5DEECE66D
+_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
+_DIGIT = np.isin(np.arange(256), np.arange(0x30, 0x3A))
 
-def masked(line: bytes) -> list[bytes]:
-    words = line.split()
-    if line.translate(None, _DIGITS) == line:
-        return words
-    return [FIELD if w.translate(None, _DIGITS) != w else w for w in words]
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_PAIRS)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_SIZES)
+    return x ^ (x >> np.uint64(31))
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
 
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, as many as were needed so far."""
 
-def unit_keys(words: list[bytes], depth: int = DEPTH) -> tuple[int, int]:
-    """(path, unit) hashes of masked words."""
-    path = xxhash.xxh64_intdigest(b" ".join([str(len(words)).encode(), *words[:depth]]), 1)
-    return _signed(path), _signed(xxhash.xxh64_intdigest(b" ".join(words), 2))
+    def __init__(self, base: int) -> None:
+        self.bases = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
 
+    def sums(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of each run of values, whatever its place: the sum of (value + 1) * base ** (place in the run). Runs are sorted and apart; some are taken at a time."""
+        out, i = np.zeros(len(starts), np.uint64), 0
+        while i < len(starts):
+            a = starts[i]
+            j = max(i + 1, int(np.searchsorted(ends, a + AT_ONCE, "right")))
+            v = values[a : ends[j - 1]].astype(np.uint64) + np.uint64(1)
+            if len(v) > len(self.up):
+                self.up, self.down = (np.concatenate(([np.uint64(1)], np.cumprod(np.full(len(v), b, np.uint64)))) for b in self.bases)
+            total = np.concatenate(([np.uint64(0)], np.cumsum(v * self.up[: len(v)], dtype=np.uint64)))
+            out[i:j] = (total[ends[i:j] - a] - total[starts[i:j] - a]) * self.down[starts[i:j] - a]
+            i = j
+        return out
 
-def cuts(words: list[bytes]) -> list[int]:
-    """Where a line's units begin, and its end: a short line is one unit, a long one is cut before each word that its pair with the word before marks."""
-    n = len(words)
-    if n <= WHOLE:
-        return [0, n] if n else [0]
-    return [0, *(i for i, (a, b) in enumerate(zip(words, words[1:], strict=False), 1) if crc32(b, crc32(a)) % CUT == 0), n]
 
+_BYTE_POWERS, _WORD_POWERS = _Powers(_BYTES), _Powers(_WORDS)
 
-def units(line: bytes) -> Iterator[list[bytes]]:
-    """The masked words of a line's units. Those of under SHORT words in a long line stand for nothing."""
-    words = masked(line)
-    at = cuts(words)
-    for a, b in zip(at, at[1:], strict=False):
-        if b - a >= SHORT or len(at) == 2:
-            yield words[a:b]
 
+class Units:
+    """The units of some texts, all found at once.
 
-def without(line: str, going: set[tuple[int, int]], depth: int = DEPTH, run: int = RUN) -> str | None:
-    """The line without its runs of at least `run` words that go; None if it goes whole.
+    doc and line number each unit's text and its line in that text; begin and end are bytes of the
+    text; words from first to last (exclusive) are hashes in `words`; path and name are its keys.
+    Those of under SHORT words in a long line stand for nothing: they aren't counted.
+    """
 
-    A run is made of units that go and of short ones between them.
+    def __init__(self, texts: list[bytes], depth: int = DEPTH) -> None:
+        x = np.frombuffer(b"\n".join(texts), np.uint8)
+        inside = np.concatenate(([False], ~_SPACE[x], [False]))
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edge[::2], edge[1::2]
+        h = _BYTE_POWERS.sums(x, starts, ends)
+        h = _mixed(h ^ ((ends - starts).astype(np.uint64) * np.uint64(_SIZES)))
+        digits = np.concatenate(([0], np.cumsum(_DIGIT[x], dtype=np.int32)))
+        h[digits[ends] > digits[starts]] = FIELD
+        self.words = h
+        lines = np.cumsum(x == 10, dtype=np.int32)
+        each = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+        before = np.concatenate(([0], np.cumsum(each)))
+        offset = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        line = lines[starts].astype(np.int64)
+        n = len(h)
+        new = np.ones(n, bool)
+        new[1:] = line[1:] != line[:-1]
+        heads = np.flatnonzero(new)
+        length = np.diff(np.append(heads, n))
+        long = np.repeat(length > WHOLE, length)
+        if n:
+            pair = _mixed(h[:-1] * np.uint64(_PAIRS) + h[1:])
+            new[1:] |= long[1:] & (pair % np.uint64(CUT) == 0)
+        self.first = np.flatnonzero(new)
+        self.last = np.append(self.first, n)[1:].astype(np.int64)
+        size = self.last - self.first
+        self.counted = (size >= SHORT) | ~long[self.first]
+        key = size.astype(np.uint64)
+        for d in range(depth):
+            at = np.minimum(self.first + d, max(n - 1, 0))
+            key = _mixed(key * np.uint64(_WORDS) + np.where(d < size, h[at] if n else np.uint64(0), np.uint64(0)))
+        self.path = key.view(np.int64)
+        self.name = _mixed(_WORD_POWERS.sums(h, self.first, self.last) + size.astype(np.uint64)).view(np.int64)
+        at = line[self.first]
+        self.doc = np.searchsorted(before, at, "right") - 1
+        self.line = at - before[self.doc]
+        self.begin, self.end = starts[self.first] - offset[self.doc], ends[self.last - 1] - offset[self.doc]
+
+    def of(self, doc: int) -> range:
+        lo, hi = np.searchsorted(self.doc, [doc, doc + 1])
+        return range(int(lo), int(hi))
+
+
+def chunks(texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, texts): some texts at a time, a long one alone."""
+    held, size, at = [], 0, 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= AT_ONCE:
+            yield at, held
+            at, held, size = at + len(held), [], 0
+    if held:
+        yield at, held
+
+
+def shortened(text: bytes, u: Units, own: range, going: set[tuple[int, int]], run: int = RUN) -> tuple[bytes, int, int]:
+    """(text, lines gone, lines cut): the text without the lines whose units all go, and without runs of at least `run` words that go inside a line.
+
+    A run is made of units that go and of those between them that aren't counted.
     """
-    raw = line.encode("utf-8", "surrogatepass")
-    words = masked(raw)
-    at = cuts(words)
-    if len(at) < 2:
-        return line
-    spans: list[list[int]] = []  # runs of words that go, first and end
-    bridge = False
-    for a, b in zip(at, at[1:], strict=False):
-        if len(at) > 2 and b - a < SHORT:
+    lines: list[bytes | None] = list(text.split(b"\n"))
+    base = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lines]))).tolist()
+    by_line: dict[int, list[int]] = {}
+    for i in own:
+        by_line.setdefault(int(u.line[i]), []).append(i)
+    gone = cut = 0
+    for n, each in by_line.items():
+        goes = [(int(u.path[i]), int(u.name[i])) in going if u.counted[i] else None for i in each]
+        if True not in goes:
+            continue
+        if False not in goes:
+            lines[n] = None
+            gone += 1
             continue
-        if unit_keys(words[a:b], depth) in going:
-            if bridge:
-                spans[-1][1] = b
-            else:
-                spans.append([a, b])
-            bridge = True
-        else:
-            bridge = False
-    if not spans:
-        return line
-    # short units at the ends of a line whose other units all go, go with them
-    first, last = min((a for a, b in zip(at, at[1:], strict=False) if b - a >= SHORT or len(at) == 2), default=0), max((b for a, b in zip(at, at[1:], strict=False) if b - a >= SHORT or len(at) == 2), default=0)
-    if len(spans) == 1 and spans[0] == [first, last]:
-        return None
-    spans = [x for x in spans if x[1] - x[0] >= run]
-    if not spans:
-        return line
-    places = [m.span() for m in _WORD.finditer(raw)]
-    out, done = [], 0
-    for a, b in spans:
-        out.append(raw[done : places[a][0]])
-        done = places[b][0] if b < len(places) else places[-1][1]
-    out.append(raw[done:])
-    return b"".join(out).decode("utf-8", "surrogatepass")
+        raw, out, done, at = lines[n], [], 0, 0
+        while at < len(each):
+            if goes[at]:
+                last = at
+                for b in range(at + 1, len(each)):
+                    if goes[b] is False:
+                        break
+                    last = b if goes[b] else last
+                if u.last[each[last]] - u.first[each[at]] >= run:
+                    out.append(raw[done : int(u.begin[each[at]]) - base[n]])
+                    done = (int(u.begin[each[last + 1]]) if last + 1 < len(each) else int(u.end[each[last]])) - base[n]
+                at = last
+            at += 1
+        if out:
+            lines[n] = b"".join([*out, raw[done:]])
+            cut += 1
+    return b"\n".join(x for x in lines if x is not None), gone, cut
 
 
 class Leaf:
@@ -164,43 +227,53 @@ def _runs(width: int, alike: float, same: int) -> list[tuple[int, int]]:
 
 
 def _sightings(depth: int):
-    def make():
-        def f(b: pa.RecordBatch):
-            cols: list[list] = [[], [], []]
-            for k, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                for path, unit in {unit_keys(u, depth) for line in text.split(b"\n") for u in units(line)}:
-                    cols[0].append(path)
-                    cols[1].append(unit)
-                    cols[2].append(k)
-            return cols if cols[0] else None
+    """(path, line, k): the keys of each text's units, once a text."""
 
-        return f
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, texts in chunks(utf8(b.column(1))):
+                u = Units(texts, depth)
+                rows = np.unique(np.stack([u.doc[u.counted], u.path[u.counted], u.name[u.counted]]), axis=1)
+                if rows.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.array(rows[2]), b.column(0).take(pa.array(rows[0] + at))], names=["path", "line", "k"])
 
-    return make
+    return run
 
 
-def _tokens(depth: int):
-    def make():
+def _tokens(depth: int, bits: np.ndarray):
+    """(path, line, tokens) of the units whose path may be in the map of bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        for b in batches:
+            for _, texts in chunks(utf8(b.column(0))):
+                u = Units(texts, depth)
+                cols: list[list] = [[], [], []]
+                place = u.path % (len(bits) * 8)
+                for i in np.flatnonzero(u.counted & (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0)).tolist():
+                    x = int(u.path[i]), int(u.name[i])
+                    if x not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(x)
+                        cols[0].append(x[0])
+                        cols[1].append(x[1])
+                        cols[2].append(u.words[u.first[i] : u.last[i]].astype(np.uint32).tobytes())
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["path", "line", "tokens"])
 
-        def f(b: pa.RecordBatch):
-            cols: list[list] = [[], [], []]
-            for text in utf8(b.column(0)):
-                for line in text.split(b"\n"):
-                    for u in units(line):
-                        x = unit_keys(u, depth)
-                        if x not in seen:
-                            if len(seen) >= REMEMBERED:
-                                seen.clear()
-                            seen.add(x)
-                            cols[0].append(x[0])
-                            cols[1].append(x[1])
-                            cols[2].append(np.array([xxhash.xxh32_intdigest(w) for w in u], np.uint32).tobytes())
-            return cols if cols[0] else None
+    return run
 
-        return f
 
-    return make
+def path_map(paths: DataFrame) -> np.ndarray:
+    """A map with the bit path mod size set for each path: about 16 bits a path, of 2 ** MAP_BITS bits at most."""
+    size = 1 << min(MAP_BITS, max(16, (16 * paths.count()).bit_length()))
+    x = F.pmod("path", F.lit(size)) + 1
+    parts = paths.groupBy(F.bitmap_bucket_number(x).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bits"))
+    out = np.zeros(max(size, 1 << 15) // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        out[(r.n - 1) * 4096 : r.n * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out[: size // 8]
 
 
 def _leaves(depth: int, alike: float):
@@ -239,7 +312,7 @@ def _runs_of_lines(depth: int, alike: float):
                 for i, (x, y) in enumerate(_runs(len(words), alike, depth)):
                     cols[0].append(path)
                     cols[1].append(line)
-                    cols[2].append(_signed(xxhash.xxh64_intdigest(words[x:y].tobytes(), i)))
+                    cols[2].append(int(np.uint64(xxhash.xxh64_intdigest(words[x:y].tobytes(), i)).view(np.int64)))
             return cols
 
         return f
@@ -267,14 +340,15 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     """
     known = docs.where(col(key).isNotNull()).select(col(key).alias("k"), col(text).alias("t"))
     kind = StructType([StructField("path", LongType()), StructField("line", LongType()), StructField("k", docs.schema[key].dataType)])
-    every = written(per_batch(known, _sightings(depth), kind), "lines-sighted")
+    every = written(in_arrow(known, _sightings(depth), kind), "lines-sighted")
     # most paths lie in one document alone: their units go no further. Each join below stands on plain exchanges or a broadcast.
     paths = written(every.groupBy("path").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("path"), "lines-paths")
     seen = written(every.join(paths, "path", "left_semi").distinct(), "lines-seen")
     # and leaves of one unit need no tokens
     shared = written(seen.groupBy("path").agg(F.min("line").alias("c"), F.max("line").alias("d"), F.count("*").alias("n")).where("c <> d").select("path", "n"), "lines-shared")
     discard(every, paths)
-    tokens = per_batch(docs.select(col(text)), _tokens(depth), "path long, line long, tokens binary").join(shared.select("path"), "path", "left_semi")
+    bits = docs.sparkSession.sparkContext.broadcast(path_map(shared))  # 2 ** MAP_BITS bits at most
+    tokens = in_arrow(docs.select(col(text)), lambda batches: _tokens(depth, bits.value)(batches), "path long, line long, tokens binary").join(shared.select("path"), "path", "left_semi")
     hot = shared.where(F.col("n") > hot_lines).select("path")
     if hot.take(1):
         tokens = written(tokens.dropDuplicates(["path", "line"]), "line-tokens")
@@ -312,15 +386,20 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts, gone, short = [], [], [], []
-            for old, lines in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
-                old, drop = old.as_py(), {(x["path"], x["line"]) for x in lines.as_py() or ()}
-                each = (old or "").split("\n")
-                kept = [without(line, drop, depth) for line in each] if drop else each
-                texts.append("\n".join(x for x in kept if x is not None) if drop else old)
-                counts.append(sum(1 for line in each if line.strip(" \t\n\r\x0b\f")))
-                gone.append(sum(x is None for x in kept))
-                short.append(sum(x is not None and x is not y and x != y for x, y in zip(kept, each, strict=True)))
-            cols = [*b.columns[:at], pa.array(texts, pa.string()), *b.columns[at + 1 : -1], *(pa.array(x, pa.int64()) for x in (counts, gone, short))]
+            going = [{(x["path"], x["line"]) for x in g or ()} for g in b.column(b.num_columns - 1).to_pylist()]
+            for first, some in chunks(utf8(b.column(at))):
+                u = Units(some, depth)
+                n_lines = np.bincount(u.doc[np.concatenate(([True], (u.doc[1:] != u.doc[:-1]) | (u.line[1:] != u.line[:-1])))[: len(u.doc)]], minlength=len(some))
+                for i, t in enumerate(some):
+                    drop = going[first + i]
+                    new, n, m = shortened(t, u, u.of(i), drop) if drop else (None, 0, 0)
+                    texts.append(new)
+                    counts.append(int(n_lines[i]))
+                    gone.append(n)
+                    short.append(m)
+            new = pa.array(texts, pa.binary()).cast(pa.string())
+            old = b.column(at)
+            cols = [*b.columns[:at], pc.if_else(new.is_null(), old, new.cast(old.type)), *b.columns[at + 1 : -1], *(pa.array(x, pa.int64()) for x in (counts, gone, short))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return in_arrow(both, run, schema)
