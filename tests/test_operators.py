@@ -109,6 +109,10 @@ def test_copies_inside_components_are_those_of_one_pass(spark):
     rng = random.Random(5)
     rows = articles(*({"title": f"story number {rng.randrange(8)} of the day", "source_name": f"s{rng.randrange(3)}", "sharing_image": rng.choice(["", "", "p1", "p2", "p3"]), "all_names": rng.sample(["a", "b", "c"], rng.randrange(4))} for _ in range(150)))
     want = {r["observation_id"]: x for r, x in zip(rows, dedup.replay(rows), strict=True)}
+    rows += articles({"title": None, "sharing_image": None}, {"title": "", "sharing_image": "p1"}, {"title": "of its own"})
+    for n, r in enumerate(rows[150:]):
+        r["observation_id"], r["observed_time"] = f"{150 + n:03d}", datetime(2025, 1, 2) + timedelta(minutes=n)
+    want = {r["observation_id"]: x for r, x in zip(rows, dedup.replay(rows), strict=True)}
     df = spark.createDataFrame([tuple(r[c.split()[0]] for c in "observation_id observed_time title source_name url_key sharing_image authors all_names persons orgs amounts vec".split()) for r in rows], dedup.DOCUMENT)
     got = {r.observation_id: (r.copy_group, r.evidence) for r in dedup.copy_groups(df).collect()}
     assert got == want
@@ -162,6 +166,58 @@ def test_trees_cost_the_least_possible():
             assert len({v for _, v in tree}) == len(tree)
 
 
+def test_rivals_are_the_best_trees_through_each_entry():
+    rng = random.Random(12)
+    seen = 0
+    for _ in range(60):
+        g = random_graph(rng)
+        best, _ = search.solve(g)
+        if best == math.inf:
+            continue
+        found = {r: (c, tree) for r, c, tree in search.rivals(g, best, window=6)}
+        for r in {v for u, v in g.cost if u == g.root and v not in g.terminals}:
+            # r must carry something: the best tree in which the entry's edge leads to a terminal
+            least = min((sum(g.cost[e] for e in t) for t in trees(g) if (g.root, r) in t), default=math.inf)
+            assert (r in found) == (least <= best + 6), (g, r, least, best)
+            if r in found:
+                assert found[r][0] == least and (g.root, r) in found[r][1]
+                seen += 1
+    assert seen > 20
+
+
+def trees(g):
+    """All sets of edges that are trees from the root with terminals at all their ends."""
+    edges = list(g.cost)
+    for bits in range(1 << len(edges)):
+        t = [e for i, e in enumerate(edges) if bits >> i & 1]
+        heads = [v for _, v in t]
+        if len(set(heads)) < len(heads) or g.root in heads or not set(g.terminals) <= {g.root, *heads}:
+            continue
+        above = {v: u for u, v in t}
+        if any(v not in g.terminals and v not in {u for u, _ in t} for v in heads):
+            continue
+        if all(reaches(v, above, g.root) for v in heads):
+            yield t
+
+
+def reaches(v, above, root):
+    for _ in range(len(above) + 1):
+        if v == root:
+            return True
+        v = above.get(v)
+    return False
+
+
+def test_fixed_trees():
+    trunk = {(0, 1): 900, (1, 2): 800, (2, 3): 1100, (2, 4): 1600, (3, 6): 500, (4, 7): 900, (0, 5): 400, (5, 6): 3400, (5, 7): 3500, (0, 6): 3300, (0, 7): 3300}
+    g = search.CostGraph(0, [6, 7], trunk)
+    cost, tree = search.solve(g)
+    assert cost == 5800 and (0, 1) in tree and (0, 6) not in tree
+    assert {r: c for r, c, _ in search.rivals(g, cost)} == {1: 5800, 5: 7300}
+    assert search.solve(search.CostGraph(0, [2], {(0, 1): 2000, (1, 2): 3000, (0, 2): 3300})) == (3300, {(0, 2)})
+    assert search.solve(search.CostGraph(0, [1], {})) == (math.inf, set())
+
+
 def test_shared_trunk_and_rivals():
     g = search.CostGraph(0, [2, 3], {(0, 1): 1000, (1, 2): 500, (1, 3): 500, (0, 2): 3300, (0, 3): 3300, (0, 4): 1500, (4, 2): 600, (4, 3): 600})
     assert search.solve(g) == (2000, {(0, 1), (1, 2), (1, 3)})

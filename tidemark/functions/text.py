@@ -15,14 +15,15 @@ from pyspark.sql.types import StringType
 
 # Query keys that only track, and the prefix of more such keys.
 TRACKERS = (
-    "_ga", "_gl", "cmpid", "dclid", "fbclid", "gclid", "guccounter", "guce_referrer", "guce_referrer_sig", "igshid", "mc_cid", "mc_eid",
-    "msclkid", "ncid", "ocid", "ref", "ref_src", "smid", "smtyp", "soc_src", "soc_trk", "spm", "taid", "yclid",
+    "fbclid", "gclid", "dclid", "msclkid", "yclid", "mc_cid", "mc_eid", "igshid", "ocid", "cmpid", "ncid",
+    "_ga", "_gl", "ref", "ref_src", "smid", "smtyp", "taid", "guccounter", "guce_referrer", "guce_referrer_sig",
+    "spm", "soc_src", "soc_trk",
 )
 TRACKER_PREFIX = "utm_"
 # Host labels that don't tell sites apart, second levels of country domains, legal suffixes of names.
 LABELS = ("www.", "m.", "amp.", "mobile.")
-SECOND_LEVELS = ("ac", "co", "com", "edu", "gov", "net", "org")
-LEGAL = ("ag", "co", "company", "corp", "corporation", "group", "holding", "holdings", "inc", "limited", "ltd", "nv", "plc", "sa", "the")
+SECOND_LEVELS = ("co", "com", "net", "org", "gov", "ac", "edu")
+LEGAL = ("inc", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "holdings", "holding", "group", "nv", "sa", "ag", "the")
 SITE_TAIL = re.compile(r"\s(?:\||-|–|—|::)\s+([^|\-–—]{1,60})$")
 
 

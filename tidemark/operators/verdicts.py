@@ -21,6 +21,7 @@ WORDING = {
     "denies": r"\b(denied|denies|deny|refuted|rejects?|dismiss\w*|disput\w*)\b",
     "alleges": r"\b(alleg\w*|accus\w*|claims?|suspect\w*|reportedly)\b",
 }
+# Wording of negations, of costs and spending, and of what a figure covers.
 NEGATION = r"\b(no|not|never|denied|denies|deny|false|untrue|refuted|rejects?)\b"
 COST = r"\b(dollar|usd|cost|train|spent|spend|budget)\w*"
 SPENDING = r"\b(capex|capital expenditure|invest\w*|data cent\w*|infrastructure)\b"
@@ -28,23 +29,28 @@ SCOPES = {
     "final_run_only": r"\b(excluding|excludes|exclude|not includ\w*|only the final|final (training )?run|official training|does not include|doesn'?t include)\b",
     "all_in": r"\b(total cost|all[- ]in|entire|in total|everything|from scratch)\b",
 }
+# The object of a claim where its wording names none.
 VALUES = {"released": "model", "ranks_top": "chart", "restricts_exports": "chips", "capability_parity": "frontier"}
 # What a denial or an allegation is about, the first that occurs.
 OBJECTS = ("smuggl", "export", "distill", "copied", "stole", "chips", "cost", "training")
 # First-hand domains, wires and national outlets, and outlets under one owner.
 PRIMARY = (
-    "amazon.com", "apple.com", "arxiv.org", "bis.doc.gov", "blog.google", "bls.gov", "broadcom.com", "commerce.gov", "constellationenergy.com", "deepseek.com", "ec.europa.eu",
-    "federalreserve.gov", "github.com", "google.com", "gov.cn", "huggingface.co", "meta.com", "microsoft.com", "nrg.com", "nvidia.com", "openai.com", "sec.gov", "tsmc.com",
-    "vistracorp.com", "whitehouse.gov",
+    "arxiv.org", "github.com", "sec.gov", "huggingface.co", "deepseek.com", "nvidia.com", "microsoft.com",
+    "openai.com", "meta.com", "google.com", "blog.google", "apple.com", "amazon.com", "tsmc.com", "broadcom.com",
+    "vistracorp.com", "constellationenergy.com", "nrg.com", "federalreserve.gov", "bls.gov", "whitehouse.gov",
+    "commerce.gov", "bis.doc.gov", "ec.europa.eu", "gov.cn",
 )
 NATIONAL = (
-    "abc.net.au", "abcnews.go.com", "afp.com", "aljazeera.com", "apnews.com", "arstechnica.com", "axios.com", "barrons.com", "bbc.co.uk", "bbc.com", "bloomberg.com",
-    "businessinsider.com", "cbc.ca", "cbsnews.com", "cnbc.com", "cnn.com", "dw.com", "economist.com", "forbes.com", "fortune.com", "foxbusiness.com", "foxnews.com", "france24.com",
-    "ft.com", "globeandmail.com", "independent.co.uk", "investing.com", "japantimes.co.jp", "latimes.com", "marketwatch.com", "nbcnews.com", "newsweek.com", "nikkei.com", "npr.org",
-    "nytimes.com", "politico.com", "reuters.com", "scmp.com", "straitstimes.com", "techcrunch.com", "telegraph.co.uk", "theaustralian.com.au", "theguardian.com", "thetimes.co.uk",
-    "theverge.com", "time.com", "usatoday.com", "washingtonpost.com", "wired.com", "wsj.com", "yahoo.com",
+    "reuters.com", "apnews.com", "bloomberg.com", "afp.com", "wsj.com", "ft.com", "nytimes.com",
+    "washingtonpost.com", "cnbc.com", "bbc.co.uk", "bbc.com", "theguardian.com", "economist.com", "cnn.com",
+    "nbcnews.com", "abcnews.go.com", "cbsnews.com", "npr.org", "marketwatch.com", "barrons.com", "forbes.com",
+    "fortune.com", "businessinsider.com", "axios.com", "politico.com", "scmp.com", "nikkei.com",
+    "theverge.com", "techcrunch.com", "wired.com", "arstechnica.com", "latimes.com", "usatoday.com",
+    "foxbusiness.com", "foxnews.com", "aljazeera.com", "dw.com", "france24.com", "japantimes.co.jp",
+    "straitstimes.com", "theaustralian.com.au", "abc.net.au", "cbc.ca", "globeandmail.com", "independent.co.uk",
+    "telegraph.co.uk", "thetimes.co.uk", "time.com", "newsweek.com", "yahoo.com", "investing.com",
 )
-OWNERS = {"gannett.com": "gannett", "iheart.com": "iheartmedia", "msn.com": "microsoft-msn", "newsquest.co.uk": "newsquest", "patch.com": "patch", "yahoo.com": "yahoo"}
+OWNERS = {"iheart.com": "iheartmedia", "patch.com": "patch", "newsquest.co.uk": "newsquest", "gannett.com": "gannett", "msn.com": "microsoft-msn", "yahoo.com": "yahoo"}
 LABELS = ("SUPPORTED", "CONTRADICTED", "UNRESOLVED", "CONSISTENT-BUT-UNPROVEN")
 
 

@@ -472,7 +472,7 @@ def l2_copy_groups(spark, sf_dir):
     """E1-02..04: copy groups of documents by title, image and names, replayed inside components."""
     from tidemark.operators.dedup import copy_groups, documents_as_articles
 
-    return copy_groups(documents_as_articles(table(spark, sf_dir, "documents")))
+    return copy_groups(documents_as_articles(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")))
 
 
 @query()
