@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 import uuid
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.operators import attention, components, dedup, narratives, observer, search, verdicts
+from tidemark.operators import attention, components, dedup, groups, narratives, observer, search, verdicts
 from tidemark.operators.components import connected_components
 
 
@@ -371,7 +372,7 @@ def test_components_take_every_order(spark, tmp_path):
     for c, k in orders:
         a, b = sorted((root(c), root(7 * c + k)))
         top[b] = a
-    got = {r.node: r.component for r in QUERIES["connected_components_of_customers"](spark, str(tmp_path)).collect()}
+    got = {r.node: r.component for r in QUERIES["connected_components_of_pairs"](spark, str(tmp_path)).collect()}
     assert got == {x: root(x) for x in top} and 90_001 in got
 
 
@@ -384,7 +385,7 @@ def test_traces_run_from_first_to_last_window(spark, tmp_path):
     at = {1: [0, 0, 3, 900], 2: [500, 501]}
     rows = [(u, datetime(2024, 1, 1) + timedelta(minutes=15 * w + 1)) for u, ws in at.items() for w in ws]
     spark.createDataFrame(rows, "user_id long, ts timestamp").selectExpr("user_id", "CAST(ts AS timestamp_ntz) AS ts").write.parquet(str(tmp_path / "events.parquet"))
-    got = {(r.user_id, r.win): r for r in QUERIES["ewma_traces_of_all_windows"](spark, str(tmp_path)).collect()}
+    got = {(r.user_id, r.win): r for r in QUERIES["ewma_traces_1h_6h_1d_1w"](spark, str(tmp_path)).collect()}
     assert set(got) == {(1, w) for w in range(901)} | {(2, 500), (2, 501)}
     for (u, w), r in got.items():
         for n, tau in (("z1h", 1.0), ("z6h", 6.0), ("z1d", 24.0), ("z1w", 168.0)):
@@ -411,8 +412,31 @@ def test_words_past_the_first_line_count(spark, tmp_path):
 
     rows = [(1, "one\nsame same", "o", "en"), (2, "two\nsame. last", "o", "en")]
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {n: QUERIES[f"{n}_of_texts"](spark, str(tmp_path)).collect() for n in ("entity_jaccard", "subject_by_outlet", "entity_profiles", "text_scalars")}
+    got = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("entity_jaccard", "subject_by_outlet", "entity_profiles", "text_scalars")}
     assert got["entity_jaccard"][0].jaccard == 0.25
     assert (got["subject_by_outlet"][0].subject, got["subject_by_outlet"][0].n) == ("same", 3)
     assert len(got["entity_profiles"]) == 4
     assert sorted((r.norm, r.parts) for r in got["text_scalars"]) == [(" one same same ", 1), (" two same  last ", 2)]
+
+
+def test_copy_groups_of_documents_are_those_of_one_pass(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    rows = dedup.documents_as_articles(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/embeddings.parquet"))
+    got = {r.observation_id: (r.copy_group, r.evidence) for r in dedup.copy_groups(rows).collect()}
+    plain = sorted((r.asDict(recursive=True) for r in rows.collect()), key=lambda r: (r["observed_time"], r["url_key"], r["observation_id"]))
+    assert got == {r["observation_id"]: x for r, x in zip(plain, dedup.replay(plain), strict=True)}
+    assert len({why for _, why in got.values()}) >= 3
+
+
+def test_groups_stream_whole(spark):
+    """Groups over many batches, and null as a group of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(k, i) for i in range(60) for k in (1, 2, None, 5)] + [(9, 0)]
+        df = spark.createDataFrame(rows, "k long, i long")
+        got = groups.by_group(df, "k", lambda own: [(None if own["k"].isna().iloc[0] else int(own["k"].iloc[0]), len(own), int(own["i"].sum()))], "k long, n long, s long").collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(1, 60, 1770), (2, 60, 1770), (None, 60, 1770), (5, 60, 1770), (9, 1, 0)], key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.groups import by_group
+
 # Wordings that make a claim, by predicate.
 WORDING = {
     "released": r"\b(releases?|released|launch(es|ed)?|unveil(s|ed)?|rolls? out|debuts?|introduc(es|ed))\b",
@@ -282,16 +284,16 @@ def decide_facts(facts: DataFrame, case: str = "hypothesis") -> DataFrame:
     """
     alike = facts.groupBy(case, *[c for c in dict.fromkeys(["hypothesis", "owner", "grp", "tier", "subject", "predicate", "value", "scope", "polarity", "copy"]) if c != case]).agg(F.min("id").alias("id"), F.bool_or("before").alias("before"), F.bool_and("signature").alias("signature"))
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
+    def run(own: pd.DataFrame) -> list[tuple]:
         hs: dict[str, Hypothesis] = {}
         for r in own.sort_values("id").itertuples():
             lit = Literal(r.subject, r.predicate, r.value, r.scope, int(r.polarity)) if isinstance(r.predicate, str) else None
             h = hs.setdefault(r.hypothesis, Hypothesis(before=False))
             h.before, h.signature = h.before or bool(r.before), h.signature and bool(r.signature)
             h.reports.append(Report(r.id, r.owner, r.grp, int(r.tier), lit, bool(r.copy)))
-        return pd.DataFrame([(h, *bits, label, n) for h, (bits, label, n) in sorted(decide(hs).items())], columns=["hypothesis", "b_in", "c_in", "b_out", "c_out", "label", "readings"])
+        return [(h, *bits, label, n) for h, (bits, label, n) in sorted(decide(hs).items())]
 
-    return alike.groupBy(case).applyInPandas(run, "hypothesis string, b_in int, c_in int, b_out int, c_out int, label string, readings int")
+    return by_group(alike, case, run, "hypothesis string, b_in int, c_in int, b_out int, c_out int, label string, readings int")
 
 
 def certificate(label: str, consequences: dict[str, list[str]]) -> str:

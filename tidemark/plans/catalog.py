@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions import clock, stats, text, vectors
+from tidemark.functions import clock, stats, text
 from tidemark.operators import observer
-from tidemark.plans.queries import ALPHA, EV, SQL, alpha_rows, daily_model, events, query, r6, table
+from tidemark.plans.queries import ALPHA, EV, alpha_rows, daily_model, events, query, r6, table
 
 
 @query(f"""{EV}, g AS (SELECT user_id, event_type, min(event_id) AS root FROM e GROUP BY 1, 2)
@@ -49,20 +49,20 @@ def hourly_series(spark, sf_dir):
     return events(spark, sf_dir).groupBy("user_id", F.floor(F.col("t") / 4).cast("long").alias("hour_no")).agg(F.count("*").alias("y"))
 
 
-@query("""WITH w AS (SELECT source, unnest(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z]+')) AS x FROM documents), c AS (SELECT source, x, count(*) AS n FROM w GROUP BY 1, 2)
+@query("""WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM documents), c AS (SELECT source, x, count(*) AS n FROM w GROUP BY 1, 2)
 SELECT source, x AS subject, CAST(n AS BIGINT) AS n FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, x) = 1""")
 def subject_by_outlet(spark, sf_dir):
-    """AGG-05, AGG-07: the most frequent name, the smallest in a tie."""
-    w = table(spark, sf_dir, "documents", "source", F.explode(F.regexp_extract_all(F.lower(F.substring_index("text", "\n", 1)), F.lit("[a-z]+"), F.lit(0))).alias("x"))
+    """AGG-05, AGG-07: the most frequent name in whole documents, the smallest in a tie."""
+    w = table(spark, sf_dir, "documents", "source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("x"))
     c = w.groupBy("source", "x").agg(F.count("*").alias("n"))
     return c.groupBy("source").agg(F.min(F.struct((-F.col("n")).alias("m"), "x")).alias("b")).select("source", F.col("b.x").alias("subject"), (-F.col("b.m")).alias("n"))
 
 
-@query("""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z]+')) AS x FROM documents), c AS (SELECT lang, x, count(*) AS n FROM w GROUP BY 1, 2)
+@query("""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM documents), c AS (SELECT lang, x, count(*) AS n FROM w GROUP BY 1, 2)
 SELECT lang, x AS entity, CAST(n AS BIGINT) AS n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS INTEGER) AS place FROM c QUALIFY place <= 8""")
 def entity_profiles(spark, sf_dir):
-    """AGG-22, WIN-09: the eight heaviest entities of each group."""
-    w = table(spark, sf_dir, "documents", "lang", F.explode(F.regexp_extract_all(F.lower(F.substring_index("text", "\n", 1)), F.lit("[a-z]+"), F.lit(0))).alias("entity"))
+    """AGG-22, WIN-09: the eight heaviest entities of each group, in whole documents."""
+    w = table(spark, sf_dir, "documents", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("entity"))
     c = w.groupBy("lang", "entity").agg(F.count("*").alias("n"))
     return c.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "entity"))).where("place <= 8")
 
@@ -149,12 +149,11 @@ def contrary_claims(spark, sf_dir):
     return j.groupBy(F.col("a.user_id").alias("user_id")).agg(F.count("*").alias("contrary"), F.count_if((F.col("a.owner") != F.col("b.owner")) & (F.col("a.grp") != F.col("b.grp"))).alias("independent"))
 
 
-@query(r"""SELECT doc_id, ' ' || trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9 ]+', ' ', 'g')) || ' ' AS norm, len(list_distinct(list_filter(list_transform(string_split(split_part(text, chr(10), 1), '.'), lambda x: trim(x)), lambda x: x <> ''))) AS parts,
+@query(r"""SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g')) || ' ' AS norm, len(list_distinct(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> ''))) AS parts,
 CASE WHEN trim(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), '_') = '' THEN 'x' ELSE trim(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), '_') END AS atom, TRY_CAST(split_part(text, ' ', 1) AS DOUBLE) AS number FROM documents""")
 def text_scalars(spark, sf_dir):
-    """SCA-16, SCA-17, SCA-22, SCA-26: normalised text, split lists, identifiers, safe casts."""
-    first = F.substring_index("text", "\n", 1)
-    return table(spark, sf_dir, "documents", "doc_id", text.norm_text(first).alias("norm"), F.size(text.split_list(first, "\\.")).cast("long").alias("parts"), text.atom(F.col("source")).alias("atom"), F.substring_index("text", " ", 1).try_cast("double").alias("number"))
+    """SCA-16, SCA-17, SCA-22, SCA-26: whole texts normalised, split lists, identifiers, safe casts."""
+    return table(spark, sf_dir, "documents", "doc_id", text.norm_text(F.col("text")).alias("norm"), F.size(text.split_list(F.col("text"), "\\.")).cast("long").alias("parts"), text.atom(F.col("source")).alias("atom"), F.substring_index("text", " ", 1).try_cast("double").alias("number"))
 
 
 @query("""WITH d AS (SELECT event_id, value AS x, (isodow(ts) - 1) * 24 + hour(ts) AS h FROM events)
@@ -198,39 +197,3 @@ def shares_255(spark, sf_dir):
     s = p.withColumn("raw", F.round(255.0 * F.col("n") / F.sum("n").over(by), 9)).withColumn("base", F.floor("raw"))
     s = s.withColumn("place", F.row_number().over(by.orderBy(F.desc(F.round(F.col("raw") - F.col("base"), 9)), "event_type"))).withColumn("spare", 255 - F.sum("base").over(by))
     return s.select("user_id", "event_type", (F.col("base") + F.when(F.col("place") <= F.col("spare"), 1).otherwise(0)).cast("long").alias("share255"))
-
-
-def _whole(name: str) -> str:
-    """A query's SQL with whole texts where it has first lines."""
-    return SQL[name].replace("split_part(text, chr(10), 1)", "text")
-
-
-@query(_whole("entity_jaccard"))
-def entity_jaccard_of_texts(spark, sf_dir):
-    """SCA-29, SCA-32, SET-02: names of a whole document against those of its outlet's document before."""
-    w = table(spark, sf_dir, "documents", "doc_id", "source", "lang", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    o = W.partitionBy("source", "lang").orderBy("doc_id")
-    p = w.select("doc_id", "w", F.lag("w").over(o).alias("v"), F.lag("doc_id").over(o).alias("prior")).where("prior IS NOT NULL")
-    return p.select(F.col("prior").alias("a"), F.col("doc_id").alias("b"), r6(vectors.jaccard(F.col("v"), F.col("w"))).alias("jaccard"))
-
-
-@query(_whole("subject_by_outlet"))
-def subject_by_outlet_of_texts(spark, sf_dir):
-    """AGG-05, AGG-07: the most frequent name in whole documents, the smallest in a tie."""
-    w = table(spark, sf_dir, "documents", "source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("x"))
-    c = w.groupBy("source", "x").agg(F.count("*").alias("n"))
-    return c.groupBy("source").agg(F.min(F.struct((-F.col("n")).alias("m"), "x")).alias("b")).select("source", F.col("b.x").alias("subject"), (-F.col("b.m")).alias("n"))
-
-
-@query(_whole("entity_profiles"))
-def entity_profiles_of_texts(spark, sf_dir):
-    """AGG-22, WIN-09: the eight heaviest entities of each group, in whole documents."""
-    w = table(spark, sf_dir, "documents", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("entity"))
-    c = w.groupBy("lang", "entity").agg(F.count("*").alias("n"))
-    return c.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "entity"))).where("place <= 8")
-
-
-@query(_whole("text_scalars"))
-def text_scalars_of_texts(spark, sf_dir):
-    """SCA-16, SCA-17, SCA-22, SCA-26: whole texts normalised and split, identifiers, safe casts."""
-    return table(spark, sf_dir, "documents", "doc_id", text.norm_text(F.col("text")).alias("norm"), F.size(text.split_list(F.col("text"), "\\.")).cast("long").alias("parts"), text.atom(F.col("source")).alias("atom"), F.substring_index("text", " ", 1).try_cast("double").alias("number"))

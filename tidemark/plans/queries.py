@@ -245,18 +245,9 @@ def residual_corr_pairs(spark, sf_dir):
     return residual_correlations(daily_model(spark, sf_dir).select("symbol", "day", "ar")).select("a", "b", "n", r6(F.col("corr")).alias("corr"))
 
 
-@query("""WITH RECURSIVE n AS (SELECT DISTINCT o_custkey % 1500 AS a, (o_custkey * 7 + o_orderkey) % 1500 AS b FROM orders WHERE o_orderkey % 23 = 0),
-e AS (SELECT a, b FROM n WHERE a <> b UNION SELECT b, a FROM n WHERE a <> b), c(node, m) AS (SELECT a, a FROM e UNION SELECT e.b, c.m FROM c JOIN e ON e.a = c.node WHERE c.m < e.b)
-SELECT node, min(m) AS component FROM c GROUP BY node""")
-def connected_components_of_pairs(spark, sf_dir):
-    """AGG-15: the least node reachable, over links between customers."""
-    o = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey").where("o_orderkey % 23 = 0")
-    return connected_components(o.select((F.col("o_custkey") % 1500).alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).alias("b")))
-
-
 @query()
-def connected_components_of_customers(spark, sf_dir):
-    """AGG-15: the least node reachable, over the links of all orders between unfolded customer ids."""
+def connected_components_of_pairs(spark, sf_dir):
+    """AGG-15: the least node reachable, over the links of all orders between customer ids. Union-find on a small table is its test: recursive SQL takes too long over all links."""
     o = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey")
     return connected_components(o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 + F.col("o_orderkey")).alias("b")))
 
@@ -312,21 +303,19 @@ def html_to_text_len(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
-p AS (SELECT i AS tb, j AS bit, list_transform(range(1, 65), lambda d: sin(12.9898 * d + 78.233 * (j + 1) + 37.719 * (i + 1))) AS w FROM range(6) a(i), range(12) b(j)),
-k AS (SELECT vec_id, tb, sum(CASE WHEN list_dot_product(v, w) >= 0 THEN 1 << bit ELSE 0 END) AS key FROM u, p GROUP BY 1, 2),
-c AS (SELECT DISTINCT x.vec_id AS a, y.vec_id AS b FROM k x JOIN k y ON x.tb = y.tb AND x.key = y.key AND x.vec_id < y.vec_id)
-SELECT a, b, round(list_dot_product(x.v, y.v), 6) AS cosine FROM c JOIN u x ON x.vec_id = a JOIN u y ON y.vec_id = b WHERE list_dot_product(x.v, y.v) >= 0.3""")
-def near_dup_pairs(spark, sf_dir):
-    """SCA-31, JOIN-14, E2A-02: pairs that share a hyperplane bucket and have a cosine of 0.3 or more."""
-    from tidemark.operators.narratives import bucket_pairs
+p AS (SELECT i AS tb, j AS bit, list_transform(range(1, 65), lambda d: sin(12.9898 * d + 78.233 * (j + 1) + 37.719 * (i + 1))) AS w FROM range(6) a(i), range(12) b(j))
+SELECT vec_id, CAST(tb AS INTEGER) AS tb, CAST(sum(CASE WHEN list_dot_product(v, w) >= 0 THEN 1 << bit ELSE 0 END) AS INTEGER) AS k FROM u, p GROUP BY 1, 2""")
+def hyperplane_keys(spark, sf_dir):
+    """E2A-02, JOIN-14: the six buckets of every vector, by the signs of twelve products each."""
+    from tidemark.operators import narratives
 
-    return bucket_pairs(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", least=0.3).select("a", "b", r6(F.col("cosine")).alias("cosine"))
+    return narratives.hyperplane_keys(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e)
 SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.v, y.v), 6) AS cosine FROM u x JOIN u y ON x.vec_id < y.vec_id WHERE list_dot_product(x.v, y.v) >= 0.3""")
-def all_pairs_at_0_3(spark, sf_dir):
-    """JOIN-14: all pairs that have a cosine of 0.3 or more, in whatever buckets they lie."""
+def near_dup_pairs(spark, sf_dir):
+    """SCA-31, JOIN-14: all pairs that have a cosine of 0.3 or more, in whatever buckets they lie, by products of blocks."""
     from tidemark.operators.narratives import all_pairs
 
     return all_pairs(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 0.3).select("a", "b", r6(F.col("cosine")).alias("cosine"))
@@ -350,12 +339,12 @@ def int8_quantize(spark, sf_dir):
     return q.select("vec_id", F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x).alias("squares"), F.array_max("q").cast("int").alias("most"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z]+')) AS w, source, lang FROM documents),
+@query("""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w, source, lang FROM documents),
 p AS (SELECT doc_id, w, lag(w) OVER o AS v, lag(doc_id) OVER o AS prior FROM w WINDOW o AS (PARTITION BY source, lang ORDER BY doc_id))
 SELECT prior AS a, doc_id AS b, round(CASE WHEN len(list_distinct(list_concat(v, w))) = 0 THEN 0 ELSE len(list_intersect(v, w)) / len(list_distinct(list_concat(v, w))) END, 6) AS jaccard FROM p WHERE prior IS NOT NULL""")
 def entity_jaccard(spark, sf_dir):
-    """SCA-29, SCA-32, SET-02: names of a document's first line against those of its outlet's document before."""
-    w = table(spark, sf_dir, "documents", "doc_id", "source", "lang", F.array_distinct(F.regexp_extract_all(F.lower(F.substring_index("text", "\n", 1)), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    """SCA-29, SCA-32, SET-02: names of a whole document against those of its outlet's document before."""
+    w = table(spark, sf_dir, "documents", "doc_id", "source", "lang", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
     o = W.partitionBy("source", "lang").orderBy("doc_id")
     p = w.select("doc_id", "w", F.lag("w").over(o).alias("v"), F.lag("doc_id").over(o).alias("prior")).where("prior IS NOT NULL")
     return p.select(F.col("prior").alias("a"), F.col("doc_id").alias("b"), r6(vectors.jaccard(F.col("v"), F.col("w"))).alias("jaccard"))
@@ -426,20 +415,10 @@ def vwap_ohlc(spark, sf_dir):
     return session_bars(t, "day").select("day", *[r6(F.col(c)).alias(c) for c in ("open", "high", "low", "close", "vwap", "sd")])
 
 
-@query(f"""{EV}, s AS (SELECT unnest(range(0, 192)) AS t), u AS (SELECT DISTINCT user_id FROM e WHERE t < 192), d AS (SELECT u.user_id, s.t, CAST(count(e.t) AS DOUBLE) AS y FROM u CROSS JOIN s LEFT JOIN e ON e.user_id = u.user_id AND e.t = s.t GROUP BY 1, 2)
-SELECT a.user_id, a.t AS win, {", ".join(f"round(coalesce(sum(CASE WHEN b.y > 0 THEN (1 - exp(-0.25 / {tau})) * exp(-0.25 / {tau} * (a.t - 1 - b.t)) * b.y END), 0), 6) AS z{n}" for n, tau in (("1h", "1.0"), ("6h", "6.0"), ("1d", "24.0"), ("1w", "168.0")))}
-FROM d a LEFT JOIN d b ON b.user_id = a.user_id AND b.t < a.t AND b.y > 0 GROUP BY 1, 2""")
+@query(f"""{EV}, y AS (SELECT user_id, t, CAST(count(*) AS DOUBLE) AS y FROM e GROUP BY 1, 2), b AS (SELECT user_id, min(t) AS lo, max(t) AS hi FROM e GROUP BY 1), d AS (SELECT user_id, unnest(range(lo, hi + 1)) AS t FROM b)
+SELECT a.user_id, a.t AS win, {", ".join(f"round(coalesce(sum((1 - exp(-0.25 / {tau})) * exp(-0.25 / {tau} * (a.t - 1 - b.t)) * b.y), 0), 6) AS z{n}" for n, tau in (("1h", "1.0"), ("6h", "6.0"), ("1d", "24.0"), ("1w", "168.0")))}
+FROM d a LEFT JOIN y b ON b.user_id = a.user_id AND b.t < a.t GROUP BY 1, 2""")
 def ewma_traces_1h_6h_1d_1w(spark, sf_dir):
-    """WIN-07: decayed sums of the counts before each window, four time constants, over the first two days."""
-    from tidemark.operators.attention import traces_of
-
-    e = events(spark, sf_dir).where("t >= 0 AND t < 192")
-    z = traces_of(e.groupBy("user_id", "t").agg(F.count("*").cast("double").alias("y")), "user_id", "t", "y", 0, 191)
-    return z.select("user_id", F.col("t").alias("win"), *[r6(F.col(c)).alias(c) for c in ("z1h", "z6h", "z1d", "z1w")])
-
-
-@query()
-def ewma_traces_of_all_windows(spark, sf_dir):
     """WIN-07: decayed sums of the counts before each window, four time constants, from each user's first window to its last."""
     from tidemark.operators.attention import traces_of
 
@@ -447,7 +426,12 @@ def ewma_traces_of_all_windows(spark, sf_dir):
     return z.select("user_id", F.col("t").alias("win"), *[r6(F.col(c)).alias(c) for c in ("z1h", "z6h", "z1d", "z1w")])
 
 
-@query()
+@query(f"""{ALPHA}, k AS (SELECT max(t) AS hi FROM e), q AS (SELECT *, exp(-(SELECT hi - u.t FROM k) * 0.25 / 72.0) AS w FROM u),
+n AS (SELECT m.user_id, source, sum(w * y * alpha) AS num FROM m JOIN q ON q.user_id = m.user_id AND q.t = m.t WHERE alpha >= 0.01 GROUP BY ALL),
+s AS (SELECT *, num / sum(num) OVER (PARTITION BY user_id) AS p FROM n), c AS (SELECT user_id, source, CASE WHEN source = 'BOT' THEN 3300 ELSE 700 + CAST(round_even(1000 * (-ln(p) + 0.3), 0) AS BIGINT) END AS c FROM s WHERE p >= 0.01),
+b AS (SELECT user_id, min(c) AS best, max(CASE WHEN source = 'BOT' THEN 3300 ELSE 0 END) AS direct, arg_min(source, (c, source <> 'BOT', source)) AS via FROM c GROUP BY 1)
+SELECT user_id, 0::INTEGER AS part, CAST(best AS BIGINT) AS cost, CAST(direct AS BIGINT) AS abstain_cost, CASE WHEN via = 'BOT' THEN 'BOT>target' ELSE 'BOT>' || via || ',' || via || '>target' END AS tree,
+coalesce((SELECT string_agg(source || ':' || c, ',' ORDER BY c, source) FROM c WHERE c.user_id = b.user_id AND source <> 'BOT' AND c <= best + 2996), '') AS rivals FROM b""")
 def min_arborescence(spark, sf_dir):
     """E3A-04..07: the cheapest explanation of each user's terminals over its own cost graph, with rival entries."""
     from tidemark.operators.search import explain_graphs
