@@ -440,3 +440,17 @@ def test_groups_stream_whole(spark):
         assert sorted(map(tuple, got), key=str) == sorted([(1, 60, 1770), (2, 60, 1770), (None, 60, 1770), (5, 60, 1770), (9, 1, 0)], key=str)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_capped_shrink_is_the_nearest_point():
+    """Against the projection onto the capped positive part by bisection; a scaled vector is farther away."""
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        v = rng.normal(size=12)
+        got = attention.shrink(v, 0, 0.0, 0.0, 0.0, 4, 1.5)
+        lo, hi = 0.0, 10.0
+        for _ in range(80):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if np.maximum(v[v > 0] - mid, 0).sum() > 1.5 else (lo, mid)
+        want = np.where(v > 0, np.maximum(v - (hi if v[v > 0].sum() > 1.5 else 0.0), 0), v)
+        assert np.allclose(got, want, atol=1e-9)
