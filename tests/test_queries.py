@@ -49,3 +49,14 @@ def test_entry(spark):
     df = e.entry(spark)
     assert df.columns == ["user_id", "win", "y", "z"] and df.take(1)
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_robust_z_of_days_before_rounding(spark, tmp_path):
+    """Days whose sums rounding moves: the score is the unrounded day's."""
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-01 06:00:00' + INTERVAL {i} DAY, 1, 'view', {v}, '{{}}')" for i, v in enumerate((1e-7, 3e-7, 4e-7, 9e-7, 6e-7)))
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from (values {rows}) v(event_id, ts, user_id, event_type, value, props)")
+    c.execute(f"copy (select event_id::bigint event_id, ts, user_id::bigint user_id, event_type, value::double \"value\", props from events) to '{tmp_path}/events.parquet' (format parquet)")
+    want = sorted(tuple(map(even, r)) for r in c.execute(queries.SQL["robust_z_trailing"]).fetchall())
+    assert len({w[3] for w in want}) > 2
+    assert sorted(tuple(map(even, r)) for r in queries.QUERIES["robust_z_trailing"](spark, str(tmp_path)).select("user_id", "day", "y", "z").collect()) == want

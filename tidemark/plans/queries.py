@@ -129,7 +129,9 @@ def robust_z_trailing(spark, sf_dir):
     """WIN-04, AGG-12: a user's day against the 60 days before it, by median and MAD."""
     d = events(spark, sf_dir).groupBy("user_id", F.floor(F.col("t") / 96).cast("long").alias("day")).agg(F.sum("value").alias("y"))
     ref = F.collect_list("y").over(W.partitionBy("user_id").orderBy("day").rowsBetween(-60, -1))
-    return d.withColumn("ref", ref).select("user_id", "day", r6(F.col("y")).alias("y"), r6(stats.robust_z(F.col("y"), F.col("ref"))).alias("z"))
+    # z in a step of its own: beside an alias y, the y in its lambdas would be the rounded one
+    d = d.withColumn("ref", ref).withColumn("z", stats.robust_z(F.col("y"), F.col("ref")))
+    return d.select("user_id", "day", r6(F.col("y")).alias("y"), r6(F.col("z")).alias("z"))
 
 
 @query(f"""{EV}, c AS (SELECT t, count(*) AS n FROM e GROUP BY t HAVING count(*) >= 4), g AS (SELECT t, n, t - row_number() OVER (ORDER BY t) AS island FROM c)
