@@ -11,6 +11,7 @@ import tracemalloc
 from datetime import date, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -262,6 +263,41 @@ def test_units_are_the_same_in_any_company(monkeypatch):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_shortened_texts_come_a_few_at_a_time(spark, monkeypatch):
+    """A task returns some texts at once, never a whole batch of the engine's."""
+    held, lines = {}, [f"line number {'x' * i} of all" for i in range(40)]
+    df = docs(spark, [(i, "\n".join([lines[i % 40], f"own{i}", "always here again"]), "k", i) for i in range(300)]).coalesce(1)
+    plain = line_dedup.in_arrow
+
+    def watched(frame, run, schema):
+        held["run"], held["rows"] = run, frame
+        return plain(frame, run, schema)
+
+    monkeypatch.setattr(line_dedup, "in_arrow", watched)
+    out = line_dedup.drop_recurring_lines(df)
+    whole = held["rows"].toArrow().combine_chunks().to_batches()
+    monkeypatch.setattr(line_dedup, "AT_ONCE", 500)
+    got = list(held["run"](iter(whole)))
+    assert sum(b.num_rows for b in got) == 300 and max(sum(len(t) for t in b.column(1).to_pylist()) for b in got) < 600
+    assert sorted(tuple(r.values()) for b in got for r in b.to_pylist()) == sorted(map(tuple, out.collect()))
+
+
+@pytest.mark.parametrize("remembered", [8, line_dedup.REMEMBERED])
+def test_tokens_of_every_unit_on_the_map(monkeypatch, remembered):
+    monkeypatch.setattr(line_dedup, "REMEMBERED", remembered)
+    rng = random.Random(9)
+    texts = ["\n".join(" ".join(rng.choices("abcd1", k=rng.randint(1, 40))) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    u = line_dedup.Units([t.encode() for t in texts])
+    bits = np.zeros(1 << 10, np.uint8)
+    at = u.path[u.counted][::2] % (len(bits) * 8)
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    on = {p for p in u.path.tolist() if bits[p % (len(bits) * 8) >> 3] >> (p % 8) & 1}
+    want = {(int(u.path[i]), int(u.name[i]), u.words[u.first[i] : u.last[i]].astype(np.uint32).tobytes()) for i in np.flatnonzero(u.counted) if int(u.path[i]) in on}
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 7] + [None])], names=["t"]) for i in range(0, 60, 7)]
+    got = [tuple(r.values()) for b in line_dedup._tokens(line_dedup.DEPTH, bits)(iter(batches)) for r in b.to_pylist()]
+    assert set(got) == want and (len(got) == len(want) or remembered == 8)
+
+
 def test_a_map_of_paths_holds_them_all(spark):
     paths = [random.Random(2).getrandbits(63) - (1 << 62) for _ in range(3000)]
     bits = line_dedup.path_map(spark.createDataFrame([(p,) for p in paths], "path long"))

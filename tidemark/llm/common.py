@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -26,8 +27,24 @@ def with_key(docs: DataFrame, key: str, rest: str) -> StructType:
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow for columns of any name, which it can't resolve itself: run takes them by place."""
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+    """mapInArrow for columns of any name, which it can't resolve itself: run takes them by place. A worker gives back what a task no longer uses."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system. Workers serve many tasks, and what their allocators keep adds up beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # only glibc has it
+        pass
 
 
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: str | StructType) -> DataFrame:

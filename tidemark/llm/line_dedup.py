@@ -27,8 +27,8 @@ from tidemark.session import discard, written
 
 #: Leading tokens on a path, share of places that must agree, documents that make a template recur.
 DEPTH, ALIKE, MIN_DOCS = 4, 0.8, 2
-#: Units that a task remembers before it forgets them all and starts anew, and bytes of text that it takes at once.
-REMEMBERED, AT_ONCE = 300_000, 1 << 20
+#: Units that a task remembers (a power of two), and bytes of text that it takes at once.
+REMEMBERED, AT_ONCE = 1 << 19, 1 << 18
 #: Sightings of lines of one leaf beyond which it is dealt out to several tasks.
 HOT_LINES = 200_000
 #: Words of the longest line that is one unit; one pair of words in CUT begins a unit in longer ones.
@@ -241,26 +241,29 @@ def _sightings(depth: int):
 
 
 def _tokens(depth: int, bits: np.ndarray):
-    """(path, line, tokens) of the units whose path may be in the map of bits."""
+    """(path, line, tokens) of the units whose path may be in the map of bits; some come again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        # a unit's place is its name's low bits, where a later one takes over; at first each place holds a name that belongs elsewhere
+        names = np.arange(REMEMBERED) ^ 1
+        paths = np.zeros(REMEMBERED, np.int64)
         for b in batches:
             for _, texts in chunks(utf8(b.column(0))):
                 u = Units(texts, depth)
-                cols: list[list] = [[], [], []]
-                place = u.path % (len(bits) * 8)
-                for i in np.flatnonzero(u.counted & (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0)).tolist():
-                    x = int(u.path[i]), int(u.name[i])
-                    if x not in seen:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen.add(x)
-                        cols[0].append(x[0])
-                        cols[1].append(x[1])
-                        cols[2].append(u.words[u.first[i] : u.last[i]].astype(np.uint32).tobytes())
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["path", "line", "tokens"])
+                bit = u.path % (len(bits) * 8)
+                own = np.flatnonzero(u.counted & (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0))
+                own = own[np.unique(np.stack([u.path[own], u.name[own]]), axis=1, return_index=True)[1]]
+                place = u.name[own] & (REMEMBERED - 1)
+                new = (names[place] != u.name[own]) | (paths[place] != u.path[own])
+                own, place = own[new], place[new]
+                if len(own):
+                    names[place], paths[place] = u.name[own], u.path[own]
+                    size = u.last[own] - u.first[own]
+                    ends = np.cumsum(size)
+                    words = u.words[np.repeat(u.first[own] - (ends - size), size) + np.arange(ends[-1])].astype(np.uint32)
+                    offsets = np.concatenate(([0], ends * 4)).astype(np.int32)
+                    tokens = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(words)])
+                    yield pa.RecordBatch.from_arrays([pa.array(u.path[own]), pa.array(u.name[own]), tokens], names=["path", "line", "tokens"])
 
     return run
 
@@ -385,21 +388,24 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, counts, gone, short = [], [], [], []
-            going = [{(x["path"], x["line"]) for x in g or ()} for g in b.column(b.num_columns - 1).to_pylist()]
             for first, some in chunks(utf8(b.column(at))):
+                # a few texts at a time, here and in what is returned: neither side holds a second batch
+                part = b.slice(first, len(some))
+                going = part.column(part.num_columns - 1)
+                ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(going), 0).to_numpy(zero_copy_only=False))))
+                path, line = (pc.struct_field(pc.list_flatten(going), x).to_pylist() for x in ("path", "line"))
                 u = Units(some, depth)
                 n_lines = np.bincount(u.doc[np.concatenate(([True], (u.doc[1:] != u.doc[:-1]) | (u.line[1:] != u.line[:-1])))[: len(u.doc)]], minlength=len(some))
+                texts, gone, short = [], [], []
                 for i, t in enumerate(some):
-                    drop = going[first + i]
+                    drop = set(zip(path[ends[i] : ends[i + 1]], line[ends[i] : ends[i + 1]], strict=True))
                     new, n, m = shortened(t, u, u.of(i), drop) if drop else (None, 0, 0)
                     texts.append(new)
-                    counts.append(int(n_lines[i]))
                     gone.append(n)
                     short.append(m)
-            new = pa.array(texts, pa.binary()).cast(pa.string())
-            old = b.column(at)
-            cols = [*b.columns[:at], pc.if_else(new.is_null(), old, new.cast(old.type)), *b.columns[at + 1 : -1], *(pa.array(x, pa.int64()) for x in (counts, gone, short))]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                new = pa.array(texts, pa.binary()).cast(pa.string())
+                old = part.column(at)
+                cols = [*part.columns[:at], pc.if_else(new.is_null(), old, new.cast(old.type)), *part.columns[at + 1 : -1], *(pa.array(x, pa.int64()) for x in (n_lines, gone, short))]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return in_arrow(both, run, schema)
